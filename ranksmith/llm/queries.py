@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classify, mixing, sharding, simhash, winnow
+from . import classify, fst, gif, mixing, sharding, simhash, warc, winnow
 from .shared import table
 
 
@@ -32,6 +32,18 @@ def op7_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op7_sharding(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fst.op8_token_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.op9_gif(table(spark, sf_dir, "documents"))
+
+
+def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op10_warc(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_mixing": op2_mixing,
@@ -39,9 +51,13 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
+    "op8_token_counts": op8_token_counts,
+    "op9_gif_media": op9_gif_media,
+    "op10_warc_normaliser": op10_warc_normaliser,
 }
 
 SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op5_benchmark_decontamination": winnow.OP5_SQL,
+    "op10_warc_normaliser": warc.OP10_SQL,
 }
