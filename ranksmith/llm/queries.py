@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classify, fst, gif, mixing, sharding, simhash, warc, winnow
+from . import classify, fst, gif, gru, mixing, sharding, simhash, warc, winnow
 from .shared import table
 
 
@@ -28,6 +28,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return winnow.op5_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.op6_lm_scoring(table(spark, sf_dir, "documents"))
+
+
 def op7_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op7_sharding(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_rendezvous_sharding": op7_rendezvous_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_gif_media": op9_gif_media,
