@@ -117,7 +117,7 @@ class Lexicon:
         self.base = np.log10(weight / (self.tokens + ADD * (self.types + 1)))
         self.unigram = np.full((CLASSES, PER_CLASS), -30.0)
         self.unigram[self.cls[listed], self.place[listed]] = np.log(weight[listed] / mass[self.cls[listed]])
-        self.class_log = np.where(mass > 0, np.log(np.maximum(mass, 1e-9) / mass.sum()), -30.0)
+        self.class_log = np.where(mass > 0, np.log(np.maximum(mass, 1e-9) / max(mass.sum(), 1e-9)), -30.0)
 
 
 # ---- network --------------------------------------------------------------------------------------------------------

@@ -181,6 +181,10 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def first_of_each_group(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay: of each component the one with the smallest key (repeated rows of it once)."""
-    stay = near_duplicates(documents, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return documents.dropDuplicates([key]).join(stay, key, "left_semi").select(*documents.columns)
+    """The documents that stay: of each component the one with the smallest key (repeated rows of it once).
+
+    Rows without a key stay, since no key names them as the copy of another.
+    """
+    gone = near_duplicates(documents, key, text).where(F.col(key) != F.col("component_id")).select(key)
+    keyed = documents.where(F.col(key).isNotNull()).join(gone, key, "left_anti").dropDuplicates([key])
+    return keyed.select(*documents.columns).unionAll(documents.where(F.col(key).isNull()))
