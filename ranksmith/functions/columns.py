@@ -10,6 +10,12 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once per row: a lambda's variable is bound, where an expression that a
+    higher-order function mentions inside its lambda is computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Without leading and trailing white space of any script."""
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
@@ -111,9 +117,9 @@ def latex_tokens(c: Column | str) -> Column:
 
 def with_bigrams(symbols: Column | str) -> Column:
     """The symbols, then each neighbouring pair joined by a space."""
-    s = _col(symbols)
-    pairs = F.when(F.size(s) > 1, F.transform(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.concat_ws(" ", F.get(s, i - 1), F.get(s, i)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(s, pairs)
+    empty = F.array().cast("array<string>")
+    pairs = lambda s: F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return bound(_col(symbols), lambda s: F.when(F.size(s) > 1, F.concat(s, pairs(s))).otherwise(F.when(s.isNotNull(), F.concat(s, empty))))
 
 
 def text_tokens(c: Column | str) -> Column:
@@ -123,9 +129,8 @@ def text_tokens(c: Column | str) -> Column:
 
 def trigrams(c: Column | str) -> Column:
     """Distinct character triples; a shorter string is one short gram."""
-    s = _col(c)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 2)), lambda i: F.substring(s, i, F.lit(3)))
-    return F.array_distinct(grams)
+    cut = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 2)), lambda i: F.substring(s, i, F.lit(3)))
+    return F.array_distinct(bound(_col(c), cut))
 
 
 def formula_text(c: Column | str) -> Column:

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import number_bucket
+from ..functions.columns import bound, number_bucket
 from ..schema import MAX_GRAPH_NODES
 
 # Fixed vocabularies of edge types, in id order.
@@ -103,8 +103,8 @@ def reverse_edges(edges: Column, n_types: int) -> Column:
 def describe(graph: Column) -> Column:
     """'x -sup-> 2' for each edge, or the nodes' names where there is none."""
     name = F.zip_with(graph["tags"], graph["symbols"], lambda t, s: F.when(s == "", t).otherwise(s))
-    lines = F.transform(graph["edges"], lambda e: F.concat(F.get(name, e["src"]), F.lit(" -"), e["type"], F.lit("-> "), F.get(name, e["dst"])))
-    return F.when(F.size(graph["edges"]) > 0, lines).otherwise(name)
+    lines = lambda names: F.transform(graph["edges"], lambda e: F.concat(F.get(names, e["src"]), F.lit(" -"), e["type"], F.lit("-> "), F.get(names, e["dst"])))
+    return F.when(F.size(graph["edges"]) > 0, bound(name, lines)).otherwise(name)
 
 
 def two_edge_paths(edges: DataFrame, key: str | None = None) -> DataFrame:
