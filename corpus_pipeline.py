@@ -42,7 +42,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixture), ("sharding", shards)]
 
-#: The classifier, the XXH64 fingerprints and the crc32 have no SQL form; tests hold the stages against brute force.
+#: The classifier and the XXH64 fingerprints have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

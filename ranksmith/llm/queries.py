@@ -64,5 +64,6 @@ QUERIES = {
 SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op5_benchmark_decontamination": winnow.OP5_SQL,
+    "op7_rendezvous_sharding": sharding.OP7_SQL,
     "op10_warc_normaliser": warc.OP10_SQL,
 }

@@ -51,3 +51,16 @@ def shard(documents: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, more
 
 def op7_sharding(documents: DataFrame) -> DataFrame:
     return shard(documents)
+
+
+#: The crc32 is folded byte by byte over a table made from its polynomial.
+OP7_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, encode(coalesce(text, '')) AS b FROM documents),
+u AS (SELECT doc_id, CAST(octet_length(b) + 1 AS BIGINT) AS size, md5('3|' || k) AS h,
+             xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(b), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295) AS text_crc32,
+             list_transform(range(9), lambda j: -ln((CAST('0x' || substr(md5('3.' || j || '|' || k), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)) AS c
+      FROM d, crc),
+s AS (SELECT *, CAST(list_position(c[1:8], list_min(c[1:8])) - 1 AS INTEGER) AS shard, CAST(list_position(c, list_min(c)) - 1 AS INTEGER) AS grown_shard FROM u)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM s
+"""
