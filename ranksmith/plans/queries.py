@@ -590,6 +590,42 @@ def tree_edit_pairs(spark, d):
     return pair_features(q.join(c, "id").withColumnRenamed("id", "c"))
 
 
+def _encoded_formulas(spark, d):
+    """Suppliers as formulas, parsed, and encoded with a vocabulary of the symbols they use."""
+    from ..functions.udfs import parse_formulas
+
+    k = F.col("s_suppkey")
+    letter = F.element_at(F.array(*[F.lit(x) for x in "abcxyz"]), (k % 6 + 1).cast("int"))
+    slt = F.concat(F.lit("<math><msup><mi>"), letter, F.lit("</mi><mn>"), (k % 7 + 10).cast("string"), F.lit("</mn></msup><mo>+</mo><mi>x</mi></math>"))
+    opt = F.concat(F.lit("<math><apply><plus/><apply><csymbol>superscript</csymbol><ci>"), letter, F.lit("</ci><cn>"), (k % 7 + 10).cast("string"), F.lit("</cn></apply><ci>x</ci></apply></math>"))
+    parsed = parse_formulas(S.table(spark, d, "supplier").select(k.alias("item"), k.cast("string").alias("visual_id"), slt.alias("slt"), F.when(k % 5 != 0, opt).alias("opt")))
+    symbols = {t: i for i, t in enumerate([*graphs.SPECIAL_SYMBOLS, "a", "b", "c", "x", "y", "z", *map(str, range(10, 17)), "+", "superscript"])}
+    tags = {t: i for i, t in enumerate(["<pad>", "<unk>", "mi", "mn", "mo", "ci", "cn", "csymbol", "plus"])}
+    enc = lambda g, types: graphs.encode(F.col(g), graphs.as_map(tags), graphs.as_map(symbols), types, both_ways=False)
+    rows = parsed.select("item", "visual_id", enc("slt_graph", graphs.SLT_EDGES).alias("slt"), enc("opt_graph", graphs.OPT_EDGES).alias("opt"))
+    return rows, {r: {"tags": tags, "symbols": symbols} for r in ("slt", "opt")}
+
+
+@query("AU1 AU2 AU3 AU4 AU5 AU6 GR9 FLT6")
+def augmented_views(spark, d):
+    from ..operators import encoding
+
+    rows, vocabs = _encoded_formulas(spark, d)
+    return encoding.augmented_pairs(encoding.anchors(rows), vocabs, seed=1)
+
+
+@query("EN1 EN2 EN3 EN8 GR7 GR8")
+def corpus_embedding(spark, d):
+    """Vectors of random weights: the path, not the quality, of the encoder."""
+    from ..functions import encoder
+    from ..operators import encoding
+
+    rows, vocabs = _encoded_formulas(spark, d)
+    sizes = lambda k: {r: len(vocabs[r][k]) for r in ("slt", "opt")}
+    c = encoder.EncoderConfig(hidden=32, layers=2, heads=4, out_dim=16, n_tags=sizes("tags"), n_symbols=sizes("symbols"), n_edge_types={"slt": 2 * len(graphs.SLT_EDGES), "opt": 2 * len(graphs.OPT_EDGES)})
+    return encoding.embed(rows, encoder.random_weights(c), c)
+
+
 # ---- diagnostics ----------------------------------------------------------------------------------------------------
 
 

@@ -103,3 +103,18 @@ def test_training_quantities():
     assert acc == 1 and loss == pytest.approx(np.log(np.e + 2) - 1)
     assert encoder.info_nce(eye, np.vstack([eye, eye]), 0.0)[0] == pytest.approx(np.log(2 * np.e + 4) - 1)
     assert encoder.learning_rate_factor(0, 10, 100) == 0.1 and encoder.learning_rate_factor(10, 10, 110) == 1 and encoder.learning_rate_factor(110, 10, 110) == pytest.approx(0)
+
+
+def test_encoder_jobs(spark, small, tmp_path):
+    from ranksmith.plans.queries import QUERIES
+
+    rows = QUERIES["corpus_embedding"](spark, small).collect()
+    assert len(rows) > 0 and all(np.isclose(np.linalg.norm(r["vector"]), 1, atol=1e-5) for r in rows)
+    a = {r["visual_id"]: tuple(r) for r in QUERIES["augmented_views"](spark, small).collect()}
+    assert a == {r["visual_id"]: tuple(r) for r in QUERIES["augmented_views"](spark, small).repartition(3).collect()}
+    assert any(r[1] != r[3] for r in a.values())
+    c = encoder.EncoderConfig(hidden=8, layers=1, heads=2, out_dim=4, n_tags={"slt": 3, "opt": 3}, n_symbols={"slt": 3, "opt": 3}, n_edge_types={"slt": 2, "opt": 2})
+    w = encoder.random_weights(c)
+    encoder.save(str(tmp_path / "w.npz"), w, c)
+    w2, c2 = encoder.load(str(tmp_path / "w.npz"))
+    assert c2 == c and all(np.array_equal(w[k], w2[k]) for k in w)
