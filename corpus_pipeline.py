@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.  All but the last return the columns of documents.
+
+Defined results for odd input: null and empty texts are scored as texts without words, share a fingerprint, are never
+contaminated and have size 0; rows without a key stay through near-duplicates; repeated rows are one document from there
+on; extra columns are carried along under their names, and do not reach the last stage's result; an empty table passes
+through all stages.
 """
 
 from __future__ import annotations
@@ -10,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranksmith.llm import classify, mixing, sharding, simhash, winnow
-from ranksmith.llm.shared import stored, table
+from ranksmith.llm.shared import renamed, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier rejects (predicted 0) go."""
-    scored = classify.fit(docs, table(spark, sf_dir, "labels"), classify.QUALITY).score(docs)
-    return scored.where("predicted = 1").select(*docs.columns)
+    model = classify.fit(docs, table(spark, sf_dir, "labels"), classify.QUALITY)
+    rows, new = renamed(docs)
+    return model.score(rows, new["doc_id"], new["text"]).where("predicted = 1").select(*new.values()).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

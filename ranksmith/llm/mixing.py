@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, columns_free_of, digest_text, stored
+from .shared import WORD, columns_free_of, digest_text, renamed, stored
 
 OUT = ("size", "source_size", "target", "copies", "taken")
 
@@ -115,9 +115,11 @@ def op2_mixing(documents: DataFrame) -> DataFrame:
 
 
 def repeated(documents: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with its own columns only."""
-    taken = mix(documents, how).where("copies > 0")
-    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The mix itself: every document as often as it is taken, with its own columns only, whatever their names."""
+    rows, new = renamed(documents)
+    taken = mix(rows, how, new["doc_id"], new["text"], new["source"]).where("copies > 0")
+    again = taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return again.select(*new.values()).toDF(*documents.columns)
 
 
 OP2_SQL = r"""

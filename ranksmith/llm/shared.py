@@ -16,6 +16,8 @@ from ..functions.workers import ship
 #: Below this the white-space pattern of the word contracts, for Spark's and DuckDB's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_BYTES = 8 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _OWN: dict[str, str] = {}
 
 
@@ -70,9 +72,20 @@ def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Record
     return stream_arrow(df, each, schema)
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df under neutral column names, and the neutral name of each; for stages that must return df's own columns whatever
+    they are called."""
+    new = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*new.values()), new
+
+
 def stream_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """df.mapInArrow with the package at hand in the workers."""
-    ship(df.sparkSession)
+    """df.mapInArrow with the package at hand in the workers, and batches of at most BATCH_BYTES where the session has
+    Spark's default of 64 MiB: a batch is bounded in bytes, however long the texts are."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(work, schema)
 
 

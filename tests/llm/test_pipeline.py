@@ -1,7 +1,7 @@
 import corpus_pipeline
 from ranksmith.llm import classify, mixing
 
-from .helpers import ODD, SCHEMA, lower
+from .helpers import ODD, SCHEMA, lower, odd
 from .test_simhash import plain_components, plain_fingerprint
 from .test_winnow import plain as plain_hits
 
@@ -42,5 +42,14 @@ def test_stages_take_odd_and_empty_tables(spark, small):
             assert got.count() >= 0 and (name == "sharding" or got.columns == docs.columns)
 
 
+def test_stages_carry_clashing_columns(spark, small):
+    extra = ["score", "predicted", "size", "taken", "copies", "same", "fp", "component_id", "c0", "c1", "__k2"]
+    docs = odd(spark, extra)
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        got = f(spark, docs, small)
+        assert got.columns == docs.columns and {tuple(r) for r in got.select(*extra).distinct().collect()} <= {("mine",) * len(extra)}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == 12
+
+
 def test_helpers_lower():
     assert lower("ÀB") == "Àb"
