@@ -162,6 +162,17 @@ def fingerprint(documents: DataFrame, text: str = "text") -> DataFrame:
     return map_arrow(frame, work, frame.drop(text).select("*", F.lit(0).cast("long").alias("fp")).schema)
 
 
+def _groups(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, fp) of every document, and (fp, component_id) of every different fingerprint; both stored."""
+    rows = stored(fingerprint(documents.select(key, text), text), "fingerprints")
+    each = stored(rows.groupBy("fp").agg(F.min(key).alias("first")), "distinct-fingerprints")
+    root = components(links(each.select("fp"))).withColumnRenamed("node", "fp")
+    joined = each.join(root, "fp")
+    lowest = joined.groupBy("root").agg(F.min("first").alias("lowest"))
+    linked = stored(joined.join(lowest, "root").select("fp", "lowest"), "linked")
+    return rows, stored(each.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "groups")
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id) for every document; component_id is the smallest key reachable over links.
 
@@ -170,21 +181,16 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     other rows but is never a component_id while a component has another key.  Empty table: empty result.  Other
     columns play no part.
     """
-    rows = stored(fingerprint(documents.select(key, text), text), "fingerprints")
-    each = stored(rows.groupBy("fp").agg(F.min(key).alias("first")), "distinct-fingerprints")
-    root = components(links(each.select("fp"))).withColumnRenamed("node", "fp")
-    joined = each.join(root, "fp")
-    lowest = joined.groupBy("root").agg(F.min("first").alias("lowest"))
-    linked = stored(joined.join(lowest, "root").select("fp", "lowest"), "linked")
-    group = stored(each.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "groups")
+    rows, group = _groups(documents, key, text)
     return rows.join(group, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def first_of_each_group(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay: of each component the one with the smallest key (repeated rows of it once).
 
-    Rows without a key stay, since no key names them as the copy of another.
+    The keys that stay are the component_ids, which come from the groups alone: no row meets the other copies of its
+    text.  Rows without a key stay, since no key names them as the copy of another.
     """
-    gone = near_duplicates(documents, key, text).where(F.col(key) != F.col("component_id")).select(key)
-    keyed = documents.where(F.col(key).isNotNull()).join(gone, key, "left_anti").dropDuplicates([key])
+    stay = _groups(documents, key, text)[1].select(F.col("component_id").alias(key)).where(F.col(key).isNotNull()).distinct()
+    keyed = documents.where(F.col(key).isNotNull()).join(stay, key, "left_semi").dropDuplicates([key])
     return keyed.select(*documents.columns).unionAll(documents.where(F.col(key).isNull()))
