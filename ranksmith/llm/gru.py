@@ -10,10 +10,10 @@ a softmax of their own over the state; further head words form one class per oct
 class, within which a word has its smoothed share of the counts, one unseen word included.  So P is a distribution over
 the training words and one unseen word, and with zero weights it is the unigram model, from which training starts.
 
-Training.  Truncated backpropagation in numpy, with Adagrad steps, over whole training documents chosen by a hash of the
-key (1 in ``SAMPLE`` at every size): each partition starts from the same weights, documents run in parallel lanes,
-gradients go back ``WINDOW`` tokens while the state is carried on, and the partitions' weights are averaged by tokens in
-a tree of tasks.  What is trained on grows with the input; the weights do not.
+Training.  Truncated backpropagation in numpy, with Adagrad steps, over every document outside the held-out fold, whole:
+each partition starts from the same weights, documents run in parallel lanes, gradients go back ``WINDOW`` tokens while
+the state is carried on, and the partitions' weights are averaged by tokens in a tree of tasks.  What is trained on
+grows with the input; the weights do not.
 
 Scores.  Documents run whole through the network in parallel lanes; the state is carried from window to window up to
 the document's end token, so long texts need no more memory than short ones beyond their tokens.
@@ -47,7 +47,6 @@ RARE = CLASSES + BANDS
 HIDDEN = 16
 WINDOW = 32
 TRAIN_LANES, SCORE_LANES = 32, 256
-SAMPLE = 8
 RATE = 0.15
 BLOCK_BYTES = 4 << 20
 ADD = 0.1
@@ -143,17 +142,29 @@ class Network:
 
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """Next state, and what the way back needs."""
-        a, u = self.w["X"][x], h @ self.w["U"]
+        return self.advance(h, self.w["X"][x])
+
+    def advance(self, h: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As step, from the inputs' rows of X."""
+        u = h @ self.w["U"]
         gates = a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
-        gates = _F(0.5) * np.tanh(_F(0.5) * gates) + _F(0.5)
+        gates *= _F(0.5)
+        np.tanh(gates, out=gates)
+        gates *= _F(0.5)
+        gates += _F(0.5)
         r, z, un = gates[:, :HIDDEN], gates[:, HIDDEN:], u[:, 2 * HIDDEN :]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * un)
-        return n + z * (h - n), r, z, n, un
+        n = r * un
+        n += a[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, r, z, n, un
 
     def output(self, h: np.ndarray, cls: np.ndarray, place: np.ndarray, grads: dict[str, np.ndarray] | None = None):
         """Natural log-probability of the class, and of the word in it where the class has a softmax; with grads, also
         the gradient of the loss at the states."""
-        out, back = self._softmax(h, self.w["Wc"], self.w["bc"], cls)
+        out, back = self._softmax(h @ self.w["Wc"] + self.w["bc"], cls)
         dh = None
         if grads is not None:
             grads["Wc"] += h.T @ back
@@ -161,26 +172,30 @@ class Network:
             dh = back @ self.w["Wc"].T
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            i = order[ends[c] : ends[c + 1]]
-            if len(i):
-                hi = h[i]
-                got, back = self._softmax(hi, self.w["Wo"][c], self.w["bo"][c], place[i])
-                out[i] += got
-                if grads is not None:
-                    grads["Wo"][c] += hi.T @ back
-                    grads["bo"][c] += back.sum(axis=0)
-                    dh[i] += back @ self.w["Wo"][c].T
+        order = order[: ends[-1]]
+        if len(order):
+            inner, found = h[order], [c for c in range(CLASSES) if ends[c] < ends[c + 1]]
+            part = [slice(ends[c], ends[c + 1]) for c in found]
+            logit = self.w["bo"][cls[order]]
+            for c, s in zip(found, part, strict=True):
+                logit[s] += inner[s] @ self.w["Wo"][c]
+            got, back = self._softmax(logit, place[order])
+            out[order] += got
+            if grads is not None:
+                d = np.empty_like(inner)
+                for c, s in zip(found, part, strict=True):
+                    grads["Wo"][c] += inner[s].T @ back[s]
+                    np.matmul(back[s], self.w["Wo"][c].T, out=d[s])
+                grads["bo"][found] += np.add.reduceat(back, ends[found], axis=0)
+                dh[order] += d
         return out, dh
 
     @staticmethod
-    def _softmax(h, w, b, target):
-        logit = h @ w
-        logit += b
+    def _softmax(logit, target):
         logit -= logit.max(axis=1, keepdims=True)
         p = np.exp(logit)
         total = p.sum(axis=1)
-        rows = np.arange(len(h))
+        rows = np.arange(len(logit))
         out = logit[rows, target] - np.log(total)
         p /= total[:, None]
         p[rows, target] -= 1
@@ -271,35 +286,40 @@ def train_block(net: Network, block: Block, state: dict[str, np.ndarray]) -> Non
     h = np.zeros((len(lanes.length), HIDDEN), _F)
     H = HIDDEN
     for steps in lanes.windows(WINDOW):
-        kept, seen = [], []
-        for tokens in steps:
-            keep = ~lanes.first[tokens][:, None]
-            h = h[: len(tokens)] * keep
-            seen.append(h)
-            nxt, r, z, n, un = net.step(h, block.input[tokens])
-            kept.append((keep, h, r, z, n, un))
-            h = nxt
         tokens = np.concatenate(steps)
-        grads = {k: np.zeros_like(w[k]) for k in ("Wc", "bc", "Wo", "bo", "U")}
-        _, d_out = net.output(np.concatenate(seen), block.cls[tokens], block.place[tokens], grads)
-        ends = np.cumsum([len(t) for t in steps])
-        down, da_all = np.zeros_like(h), []
-        for t in range(len(steps) - 1, -1, -1):
-            keep, before, r, z, n, un = kept[t]
-            k = len(before)
+        ends = np.cumsum([len(t) for t in steps]).tolist()
+        spans = [slice(hi - len(t), hi) for t, hi in zip(steps, ends, strict=True)]
+        x, fresh = block.input[tokens], lanes.first[tokens]
+        a, new = w["X"][x], [bool(fresh[s].any()) for s in spans]
+        before, r, z, n, un = (np.empty((len(tokens), H), _F) for _ in range(5))
+        for s, begins in zip(spans, new, strict=True):
+            h = h[: s.stop - s.start]
+            if begins:
+                h = h * ~fresh[s][:, None]
+            before[s] = h
+            h, r[s], z[s], n[s], un[s] = net.advance(h, a[s])
+        grads = {k: np.zeros_like(w[k]) for k in ("Wc", "bc", "Wo", "bo")}
+        _, d_out = net.output(before, block.cls[tokens], block.place[tokens], grads)
+        to_n = (1 - z) * (1 - n * n)
+        to_u = np.stack([to_n * un * r * (1 - r), (before - n) * z * (1 - z), to_n * r], axis=1)
+        down, after, back_u = np.zeros_like(h), np.empty_like(before), np.ascontiguousarray(w["U"].T)
+        for s, begins in zip(spans[::-1], new[::-1], strict=True):
+            k = s.stop - s.start
             if len(down) < k:
                 down = np.concatenate([down, np.zeros((k - len(down), H), _F)])
-            dn = down * (1 - z) * (1 - n * n)
-            dr = dn * un * r * (1 - r)
-            dz = down * (before - n) * z * (1 - z)
-            du = np.concatenate([dr, dz, dn * r], axis=1)
-            grads["U"] += before.T @ du
-            da_all.append(np.concatenate([dr, dz, dn], axis=1))
-            down = (down * z + du @ w["U"].T + d_out[ends[t] - k : ends[t]]) * keep
-        x = np.concatenate([block.input[t] for t in steps[::-1]])
-        rows, back = np.unique(x, return_inverse=True)
-        gx = np.zeros((len(rows), 3 * H), _F)
-        np.add.at(gx, back, np.concatenate(da_all))
+            after[s] = down
+            du = (down[:, None, :] * to_u[s]).reshape(k, 3 * H)
+            down = down * z[s]
+            down += du @ back_u
+            down += d_out[s]
+            if begins:
+                down *= ~fresh[s][:, None]
+        da = (after[:, None, :] * to_u).reshape(-1, 3 * H)
+        grads["U"] = before.T @ da
+        da[:, 2 * H :] = after * to_n
+        order = np.argsort(x, kind="stable")
+        rows, first = np.unique(x[order], return_index=True)
+        gx = np.add.reduceat(da[order], first, axis=0)
         scale = _F(1.0 / len(tokens))
         for k, g in grads.items():
             g *= scale
@@ -397,8 +417,7 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
             flat = np.concatenate([own.w[k].ravel() for k in Network.NAMES]).astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([flat.tobytes()], pa.binary())], ["weight", "sum"])
 
-    chosen = train.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(SAMPLE)) == 0).select(text)
-    parts = stored(stream_arrow(chosen, work, "weight double, sum binary"), "lm-weights")
+    parts = stored(stream_arrow(train.select(text), work, "weight double, sum binary"), "lm-weights")
     mean, at = _tree_mean(parts, parts.count()), 0
     if mean is not None:
         for k in Network.NAMES:

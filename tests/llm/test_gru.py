@@ -52,6 +52,15 @@ def test_odd_rows(spark):
     assert gru.op6_lm_scoring(empty(spark)).count() == 0
 
 
+def test_the_network_learns_from_every_training_document(spark, small, monkeypatch):
+    """The tokens the weights are averaged by are all those outside the held-out fold."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    weights, mean = [], gru._tree_mean
+    monkeypatch.setattr(gru, "_tree_mean", lambda parts, n: (weights.append(sum(r["weight"] for r in parts.collect())), mean(parts, n))[1])
+    net, _ = gru.fit(docs)
+    assert weights == [net.lexicon.tokens] and net.lexicon.tokens > 0
+
+
 def lexicon(v=40):
     rng = np.random.default_rng(0)
     h = np.sort(rng.integers(0, 1 << 63, v, dtype=np.uint64))
