@@ -692,13 +692,19 @@ def failure_causes(spark, d):
 
 @query("TXT1", r"""SELECT page_id, length(regexp_replace(regexp_replace(trim(html), '^\s*<\?xml[^>]*\?>', ''), '</?mpadded\b[^>]*>', '', 'g')) AS n FROM pages""")
 def markup_repair(spark, d):
-    """The SQL side has the repairs that its regular expressions know and that these pages need."""
+    """The two repairs that the SQL has; ``markup_sanitize`` has them all."""
     html = C.strip("html")
     for pattern, by in (C.MARKUP_REPAIRS[0], C.MARKUP_REPAIRS[2]):
         html = F.regexp_replace(html, pattern, by)
     return S.table(spark, d, "pages").select("page_id", F.length(html).cast("long").alias("n"))
 
 
+@query("TXT1")
+def markup_sanitize(spark, d):
+    """All repairs of the markup; without SQL, whose regular expressions know no lookahead."""
+    return S.table(spark, d, "pages").select("page_id", F.length(C.sanitize("html")).cast("long").alias("n"))
+
+
 # ---- sampling -------------------------------------------------------------------------------------------------------
 
 

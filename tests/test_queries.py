@@ -38,6 +38,15 @@ def test_runs(spark, small, name):
     assert frame.count() >= 0 and len(set(frame.columns)) == len(frame.columns)
 
 
+def test_markup_sanitize_has_every_repair(spark, tmp_path):
+    from ranksmith.functions import mathml
+
+    pages = ['<?xml version="1.0"?> <p>a</p>', '<math alttext="x">b</math>', "<mpadded w='1'>c</mpadded>", "<p>d & e &amp; f</p>", "<p>1 < 2</p>", " <p>g</p> "]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["n"] for r in QUERIES["markup_sanitize"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(mathml.repair(x)) for i, x in enumerate(pages)}
+
+
 def test_every_query_names_its_operators():
     assert set(IDS) == set(QUERIES) and all(IDS.values())
 
