@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
 written as Parquet and read again as the next stage's docs.  All but the last return the columns of documents.
 
 Defined results for odd input: null and empty texts are scored as texts without words, share a fingerprint, are never
-contaminated and have size 0; rows without a key stay through near-duplicates; repeated rows are one document from there
-on; extra columns are carried along under their names, and do not reach the last stage's result; an empty table passes
+contaminated and have size 0; rows without a key stay through near-duplicates; rows that share a doc_id, or have none,
+stay or go each by its own text; repeated rows are one document from near-duplicates on; extra columns are carried along under their names, and do not reach the last stage's result; an empty table passes
 through all stages.
 """
 
@@ -26,14 +26,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: the one with the smallest doc_id."""
+    """One document of each group of linked fingerprints stays: the one with the smallest doc_id (with the smallest digest
+    of its text, where several have it)."""
     return simhash.first_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a window with a benchmark item go."""
-    dirty = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__k"))
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("__k")), "left_anti").select(*docs.columns)
+    """Documents that share a window with a benchmark item go, and no others of their doc_id: key and digest of the text
+    name a document."""
+    rows, new = renamed(docs)
+    digest = F.sha2(F.coalesce(F.col(new["text"]), F.lit("")).cast("binary"), 256)
+    rows = rows.withColumn("mark", F.concat_ws("|", digest, F.col(new["doc_id"]).cast("string")))
+    texts = rows.select("mark", F.col(new["text"]).alias("text"))
+    dirty = winnow.decontaminate(texts, table(spark, sf_dir, "benchmark"), "mark").where("contaminated").select("mark")
+    return rows.join(dirty, "mark", "left_anti").select(*new.values()).toDF(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

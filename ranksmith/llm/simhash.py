@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .components import components
-from .shared import columns_free_of, map_arrow, stored, stream_arrow
+from .shared import columns_free_of, map_arrow, renamed, stored, stream_arrow
 
 SHINGLE = 3
 DISTANCE = 2
@@ -188,9 +188,14 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 def first_of_each_group(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay: of each component the one with the smallest key (repeated rows of it once).
 
-    The keys that stay are the component_ids, which come from the groups alone: no row meets the other copies of its
-    text.  Rows without a key stay, since no key names them as the copy of another.
+    A document is its key and the digest of its text, so unrelated texts under one key stay or go each by its own
+    component; of texts of one component under its smallest key the one with the smallest digest stays.  The documents
+    that stay come from the groups alone: no row meets the other copies of its text.  Rows without a key stay, since no
+    key names them as the copy of another.
     """
-    stay = _groups(documents, key, text)[1].select(F.col("component_id").alias(key)).where(F.col(key).isNotNull()).distinct()
-    keyed = documents.where(F.col(key).isNotNull()).join(stay, key, "left_semi").dropDuplicates([key])
-    return keyed.select(*documents.columns).unionAll(documents.where(F.col(key).isNull()))
+    rows, new = renamed(documents)
+    digest = F.sha2(F.coalesce(F.col(new[text]), F.lit("")).cast("binary"), 256)
+    rows = rows.withColumn("mark", F.when(F.col(new[key]).isNotNull(), F.struct(F.col(new[key]).alias("key"), digest.alias("digest"))))
+    stay = _groups(rows, "mark", new[text])[1].select(F.col("component_id").alias("mark")).where(F.col("mark").isNotNull()).distinct()
+    keyed = rows.where(F.col("mark").isNotNull()).join(stay, "mark", "left_semi").dropDuplicates(["mark"])
+    return keyed.select(*new.values()).unionAll(rows.where(F.col("mark").isNull()).select(*new.values())).toDF(*documents.columns)

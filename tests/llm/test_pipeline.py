@@ -51,5 +51,21 @@ def test_stages_carry_clashing_columns(spark, small):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == 12
 
 
+def test_decontamination_removes_rows_by_their_own_text(spark, small):
+    """Clean rows without a key, or under the key of a contaminated one, stay."""
+    leak = next(r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect() if r["text"] and len(r["text"].split()) >= 10)
+    rows = [(k, t, "en", "a", 1) for k in (None, 1) for t in (leak, "wholly unrelated clean words", None)] + [(2, leak, "en", "a", 1)]
+    got = dict(corpus_pipeline.STAGES)["decontamination"](spark, spark.createDataFrame(rows, SCHEMA).repartition(3), small).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(r) for r in rows if r[1] != leak)
+
+
+def test_near_duplicates_take_rows_of_one_key_apart(spark, small):
+    """Unrelated texts under one doc_id belong to different groups; each group keeps one row."""
+    a, b, c = "one two three four five six", "red green blue pink grey black", "dog cat cow hen pig fox"
+    rows = [(k, t, "en", "a", 1) for k, t in [(1, a), (1, b), (1, b), (2, a), (2, c), (3, c), (None, a)]]
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, SCHEMA).repartition(3), small).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in got) == sorted([(1, a), (1, b), (2, c), (0, a)])
+
+
 def test_helpers_lower():
     assert lower("ÀB") == "Àb"
