@@ -489,7 +489,7 @@ def reverse_edges(spark, d):
 def graph_encode(spark, d):
     tags = graphs.as_map({"<pad>": 0, "<unk>": 1, "lineO": 2, "order": 3})
     symbols = graphs.as_map({s: i for i, s in enumerate(graphs.SPECIAL_SYMBOLS)} | {"7": 10})
-    return _order_graphs(spark, d).select("l_orderkey", graphs.encode(F.col("graph"), tags, symbols, ("A", "N", "R"), max_nodes=5).alias("g")).select("l_orderkey", "g.*")
+    return _order_graphs(spark, d).select("l_orderkey", graphs.encode(F.col("graph"), tags, symbols, ("A", "N", "R")).alias("g")).select("l_orderkey", "g.*")
 
 
 @query("GR4", "SELECT l_orderkey, string_agg('order -' || l_returnflag || '-> ' || l_partkey, '; ' ORDER BY l_linenumber, l_returnflag, l_linestatus, l_partkey) AS lines FROM lineitem GROUP BY l_orderkey")

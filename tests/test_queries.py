@@ -57,3 +57,10 @@ def test_entry(spark):
     frame = e.entry(spark)
     assert frame.columns == ["topic_id", "visual_id", "score", "rank"] and frame.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_graph_encode_cuts_no_graph(spark, small):
+    """Every order's graph has its order and all of its lines."""
+    want = {r["l_orderkey"]: r["count"] for r in spark.read.parquet(f"{small}/lineitem.parquet").groupBy("l_orderkey").count().collect()}
+    got = QUERIES["graph_encode"](spark, small).collect()
+    assert max(want.values()) >= 5 and {r["l_orderkey"]: len(r["tag"]) - 1 for r in got} == want and not any(r["truncated"] for r in got)
