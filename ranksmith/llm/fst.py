@@ -15,7 +15,7 @@ tokens may stand side by side if no merge across their border would come first.
 token could still begin, each with its trie node, the token before it and the count up to it relative to the count
 now; a transition is annotated with the change of the count, so tokens are emitted (or taken back, where a merge joins
 them) as bytes are read.  States are compiled when first met and shared by all texts of a worker process; a table of
-recent pre-tokens with their totals saves running the same word again.
+pre-tokens with their totals, by their bytes, saves running the same word again.
 
 Merges must be listed after the merges that make their parts, as training produces them; ``Bpe`` checks that.
 
@@ -147,6 +147,12 @@ def _classes() -> np.ndarray:
 # ---- token transducer -----------------------------------------------------------------------------------------------
 
 
+CHANGE_BITS = 16
+MOST_CHANGE = 1 << CHANGE_BITS - 1  # a token of more bytes could take back more tokens than a transition can say
+_CHANGE = (1 << CHANGE_BITS) - 1
+MOST_MEMO, MEMO_WORD = 1 << 18, 64  # entries of the table of totals, and the longest pre-token in it
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The vocabulary's printable stand-in of each byte: printable Latin-1 is itself, the rest counts up from U+0100."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -218,7 +224,7 @@ class Bpe:
         return got
 
     def compile(self, key: int) -> int:
-        """The transition (state << 8 | byte) -> state << 6 | (change of the count + 32)."""
+        """The transition (state << 8 | byte) -> state << CHANGE_BITS | (change of the count + MOST_CHANGE)."""
         byte, moved, last, change = key & 255, [], None, 0
         for node, before, relative in self.states[key >> 8]:
             to = self.trie.get(node << 8 | byte)
@@ -228,8 +234,10 @@ class Bpe:
             t = self.token[to]
             if last is None and t is not None and (before is None or self.beside(before, t)):
                 last, change = t, relative + 1
+        if not -MOST_CHANGE <= change < MOST_CHANGE:
+            raise ValueError(f"a byte changes the count by {change}; a transition holds less than {MOST_CHANGE}")
         out = self._id((*((n, b, r - change) for n, b, r in moved), (0, last, 0)))
-        self.step[key] = value = out << 6 | change + 32
+        self.step[key] = value = out << CHANGE_BITS | change + MOST_CHANGE
         return value
 
     def count(self, word: bytes) -> int:
@@ -239,21 +247,20 @@ class Bpe:
             v = get(state << 8 | b)
             if v is None:
                 v = self.compile(state << 8 | b)
-            state = v >> 6
-            total += (v & 63) - 32
+            state = v >> CHANGE_BITS
+            total += (v & _CHANGE) - MOST_CHANGE
         return total
 
 
 class Counter:
     """Token counts of whole texts; special: the added tokens that are recognised inside texts."""
 
-    def __init__(self, merges: list[tuple[bytes, bytes]], special: list[str], memo_bits: int = 20, most_states: int = 400_000):
+    def __init__(self, merges: list[tuple[bytes, bytes]], special: list[str], most_states: int = 400_000):
         self.merges, self.most_states = merges, most_states
         self.bpe = Bpe(merges)
         self.classes = _classes()
         self.special = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
-        self.shift = np.uint64(64 - memo_bits)
-        self.known, self.total = np.zeros(1 << memo_bits, np.uint64), np.zeros(1 << memo_bits, np.int32)
+        self.memo: dict[bytes, int] = {}
 
     @classmethod
     def load(cls, path: str) -> Counter:
@@ -264,20 +271,22 @@ class Counter:
         return cls([(bytes(back[c] for c in a), bytes(back[c] for c in b)) for a, b in pairs], [t["content"] for t in spec["added_tokens"]])
 
     def _pretoken_counts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = kernel.span_hash(data, start, end)
-        slot = (h >> self.shift).astype(np.int64)
-        out = self.total[slot].astype(np.int64)
-        miss = np.flatnonzero(self.known[slot] != h)
-        if len(miss):
-            if len(self.bpe.states) > self.most_states:  # bounded memory: compile anew
-                self.bpe = Bpe(self.merges)
-            _, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            at = miss[first]
-            raw, count = data.tobytes(), self.bpe.count
-            got = np.array([count(raw[s:e]) for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)], np.int64)
-            out[miss] = got[back]
-            self.known[slot[at]], self.total[slot[at]] = h[at], got
-        return out
+        if len(self.bpe.states) > self.most_states:  # bounded memory: compile anew
+            self.bpe = Bpe(self.merges)
+        if len(self.memo) > MOST_MEMO:
+            self.memo.clear()
+        first, back = kernel.distinct(data, start, end)
+        raw, memo, count = data.tobytes(), self.memo, self.bpe.count
+        out = np.empty(len(first), np.int64)
+        for i, (s, e) in enumerate(zip(start[first].tolist(), end[first].tolist(), strict=True)):
+            word = raw[s:e]
+            got = memo.get(word)
+            if got is None:
+                got = count(word)
+                if e - s <= MEMO_WORD:
+                    memo[word] = got
+            out[i] = got
+        return out[back]
 
     def counts(self, piece: kernel.Slice) -> np.ndarray:
         """Tokens of each row of the slice."""

@@ -146,6 +146,72 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def _pieces(length: np.ndarray, most: int = SLICE_BYTES) -> Iterator[slice]:
+    """Runs of spans of some ``most`` bytes in all (a longer span is a run of its own)."""
+    total, lo = np.cumsum(length), 0
+    while lo < len(length):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes of the spans, one span after the other."""
+    parts = []
+    for s in _pieces(length):
+        n = length[s]
+        parts.append(data[np.repeat(start[s] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+    return np.concatenate(parts) if parts else np.empty(0, np.uint8)
+
+
+def equal(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each span of a has the bytes of the span of b that has its number; both have the given lengths, above zero."""
+    out = np.ones(len(length), bool)
+    for s in _pieces(length):
+        n = length[s]
+        first = np.cumsum(n) - n
+        steps = np.arange(int(n.sum())) - np.repeat(first, n)
+        other = a[np.repeat(a_start[s], n) + steps] != b[np.repeat(b_start[s], n) + steps]
+        if other.any():
+            out[s] = ~np.logical_or.reduceat(other, first)
+    return out
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the first span of each different content, and the content's number of every span.
+
+    Spans are sorted by their hash and held against the bytes of the first with that hash; those that differ from it are
+    told apart by their bytes, so two contents are never taken for one.
+    """
+    if not len(start):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    _, first, back = np.unique(span_hash(data, start, end) if h is None else h, return_index=True, return_inverse=True)
+    length, to = end - start, first[back]
+    same = length == length[to]
+    check = np.flatnonzero(same & (to != np.arange(len(to))))
+    same[check] = equal(data, start[check], data, start[to[check]], length[check])
+    if not same.all():
+        more: dict[bytes, int] = {}
+        extra: list[int] = []
+        for i in np.flatnonzero(~same).tolist():
+            word = data[start[i] : end[i]].tobytes()
+            if word not in more:
+                more[word] = len(first) + len(extra)
+                extra.append(i)
+            back[i] = more[word]
+        first = np.concatenate([first, np.array(extra, first.dtype)])
+    return first, back
+
+
+def binary(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans as a binary column."""
+    length = end - start
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(length, out=offsets[1:])
+    wide = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(gather(data, start, length))])
+    return wide.cast(pa.binary())
+
+
 def words(piece: Slice, kind: np.ndarray = NOT_SPACE, lower: np.ndarray | None = None) -> Words:
     data = LOWER[piece.data] if lower is None else lower
     start, end = runs(kind[data], piece.offsets)

@@ -43,3 +43,11 @@ def odd(spark, extra=()):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def thue_morse(steps):
+    """Two different words of 2**steps letters whose polynomial hashes modulo 2**64 are equal from ten steps on."""
+    word = "a"
+    for _ in range(steps):
+        word = "".join("ab" if x == "a" else "ba" for x in word)
+    return word, word.translate(str.maketrans("ab", "ba"))

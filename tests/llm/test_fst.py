@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from ranksmith.llm import fst, kernel
 
-from .helpers import empty, odd
+from .helpers import empty, odd, thue_morse
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD_TEXTS = ["", "a", " ", "  ", "\n", "\n\n x", "it's we'll I'd they're you've 'tis 'S ''s !'s 's's 'r 're 'rx 'l 'll 'lx 'v", "x'r", "<|endoftext|>", "a<|endoftext|>b <|endoftext|>  <|endoftext|>", "  <|endoftext", "日本語テキスト 123abc", "  x \t y  \r\n z ", "😀😀 a😀b", "a" * 5000, " " * 3000, " '", "\x85a", "½ ² x²", "\x00\x01", " a　b"]
@@ -84,3 +84,24 @@ def test_states_are_bounded(library):
     small.most_states = 50
     texts = ["some words here to compile states for", "other words, quite different ones 12345"] * 3
     assert [int(small.counts(p)[0]) for t in texts for p in kernel.slices(pa.array([t], pa.large_string()))] == theirs(library, texts)
+
+
+def test_words_of_one_hash_are_counted_apart(library, monkeypatch):
+    pair = [*thue_morse(10), *thue_morse(11), " ".join(thue_morse(10))]
+    assert ours(pair) == theirs(library, pair) and len(set(theirs(library, pair)[:2])) == 2
+    texts = ["some words of one length: cats dogs cows pigs", "cats pigs\ncows   dogs 1234 5678 é日"]
+    monkeypatch.setattr(kernel, "span_hash", lambda data, start, end: (end - start).astype(np.uint64))
+    assert ours(texts * 2) == theirs(library, texts * 2)
+
+
+def test_a_change_beyond_a_transition_is_an_error(monkeypatch):
+    """A token of 35 pieces whose prefix of 34 letters has 34 tokens counts right; beyond the field it is refused."""
+    letters = [bytes([b]) for b in range(65, 100)]
+    merges = [(letters[33], letters[34])]
+    for i in range(32, -1, -1):
+        merges.append((letters[i], merges[-1][0] + merges[-1][1]))
+    bpe, word = fst.Bpe(merges), b"".join(letters)
+    assert bpe.count(word[:34]) == 34 and bpe.count(word) == 1
+    monkeypatch.setattr(fst, "MOST_CHANGE", 32)
+    with pytest.raises(ValueError, match="changes the count"):
+        fst.Bpe(merges).count(word)
