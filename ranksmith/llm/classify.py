@@ -1,8 +1,9 @@
 """Two text classifiers over hashed grams: document quality and toxicity.
 
-Both fit on a bounded sample of labelled rows (``most_rows``, half from either class, chosen by a hash of the key so
-that reruns agree) and score every whole text.  The sample's keys are the only rows collected; the fitted model is a
-sparse vector, bounded by the gram space and in practice a few thousand weights.  The documents are scanned twice, once
+Both fit on a bounded sample of labelled rows (at most ``most_rows``, half from either class, chosen by a hash of the key
+so that reruns agree, and of those as many as ``most_grams`` different grams in all allow) and score every whole text.
+What is collected is bounded in rows and bytes: the sample's keys, and its grams, 4 or 8 bytes each.  The fitted model is
+a sparse vector, bounded by the gram space and in practice a few thousand weights.  The documents are scanned twice, once
 for the sample and once for the scores, and are never shuffled.
 
 Defined results for odd input
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, linear
-from .shared import columns_free_of, fold, map_arrow
+from .shared import columns_free_of, fold, map_arrow, mark, stored, sweep
 
 OUT = ("held_out", "score", "predicted")
 
@@ -39,6 +40,7 @@ class Task:
     spec: linear.GramSpec
     ftrl: linear.Ftrl
     most_rows: int
+    most_grams: int = 1 << 24
 
 
 #: Hashed word n-grams (one and two words, one to three shapes) weighted by their share of the text.
@@ -91,7 +93,7 @@ def fit(documents: DataFrame, labels: DataFrame, task: Task, key: str = "doc_id"
     if len(counts) < 2:
         share = (counts.get(1, 0) + 0.5) / (total + 1)
         return Classifier(task, linear.Model(task.spec, np.empty(0, np.int32), np.empty(0, np.float32), math.log(share / (1 - share))), total)
-    spark = documents.sparkSession
+    spark, since = documents.sparkSession, mark()
     wanted = F.broadcast(spark.createDataFrame(chosen, known.schema))
     sample = documents.select(key, text).join(wanted, key)
     spec = task.spec
@@ -101,12 +103,23 @@ def fit(documents: DataFrame, labels: DataFrame, task: Task, key: str = "doc_id"
         for p in kernel.slices(batch.column(1)):
             got = linear.examples(p, spec)
             yield pa.RecordBatch.from_arrays(
-                [keys[p.lo : p.hi], y[p.lo : p.hi], pa.array([c.tobytes() for c, _ in got], pa.binary()), pa.array([b"" if spec.presence else v.tobytes() for _, v in got], pa.binary())],
-                ["key", "y", "col", "value"],
+                [keys[p.lo : p.hi], y[p.lo : p.hi], pa.array([len(c) for c, _ in got], pa.int64()), pa.array([c.tobytes() for c, _ in got], pa.binary()), pa.array([b"" if spec.presence else v.tobytes() for _, v in got], pa.binary())],
+                ["key", "y", "n", "col", "value"],
             )
 
     kind = known.schema[key].dataType.simpleString()
-    got = map_arrow(sample.select(key, text, "y"), work, f"key {kind}, y int, col binary, value binary").toArrow()
+    texts = stored(map_arrow(sample.select(key, text, "y"), work, f"key {kind}, y int, n long, col binary, value binary"), "training-sample")
+    # In the order of the sample, every row that the grams left over have room for.
+    left, out = task.most_grams, []
+    for r in texts.select("key", "n").orderBy(F.xxhash64("key", F.lit(task.ftrl.seed)), "key", "n").collect():
+        if r["n"] <= left:
+            left -= r["n"]
+        else:
+            out.append((r["key"], r["n"]))
+    if out:
+        texts = texts.join(F.broadcast(spark.createDataFrame(out, f"key {kind}, n long").distinct()), ["key", "n"], "left_anti")
+    got = texts.toArrow()
+    sweep(spark, since)
     order = np.argsort(np.array([f"{k}" for k in got["key"].to_pylist()]), kind="stable")
     y = got["y"].to_numpy()[order].astype(float)
     cols, values = got["col"].combine_chunks(), got["value"].combine_chunks()

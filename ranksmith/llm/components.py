@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, stored
+from .shared import mark, stored, sweep
 
 
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -24,8 +24,7 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """
     spark = edges.sparkSession
     names: list[DataFrame] = []
-    old: list[str] = []
-    now = stored(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", old)
+    now = stored(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     for round_ in range(most_rounds):
         if now.isEmpty():
             break
@@ -41,9 +40,9 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
             .select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
             .distinct()
         )
-        before, old = old, []
-        now = stored(moved, "edges", old)
-        discard(spark, before)
+        since = mark() - 2  # the edges and names of this round
+        now = stored(moved, "edges")
+        sweep(spark, since, now, name)
     else:
         raise RuntimeError("the contraction did not end")
     if not names:

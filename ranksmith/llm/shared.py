@@ -21,11 +21,21 @@ _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864
 _OWN: dict[str, str] = {}
 
 
+#: Tables and folders made so far, oldest first; see ``sweep``.
+_MADE: list[str] = []
+
+#: Most names of documents in one broadcast: 16 bytes each, some 64 MB as a hash table.
+MOST_NAMES = 1 << 19
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is absent (local tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is absent and all tasks run in the
+    driver's process.  On a cluster without the setting this is an error: executors could not see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="ranksmith-")
@@ -33,27 +43,49 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/ranksmith/{name}-{uuid.uuid4().hex}"
-
+    path = f"{shared_folder(spark)}/ranksmith/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
-def stored(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs a re-read only.
 
-    keep: gets the table's path, for ``discard`` once nothing lazy refers to it any more.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs a re-read only."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    if keep is not None:
-        keep.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in time, for ``sweep``."""
+    return len(_MADE)
 
 
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    for p in paths:
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete what was stored since the mark, but for the tables that the given frames read: call it once their results,
+    and no others, are still wanted."""
+    wanted = "\n".join(f for k in keep for f in k.inputFiles())
+    gone = [p for p in _MADE[since:] if p.rsplit("/", 1)[1] not in wanted]
+    for p in gone:
         where = spark._jvm.org.apache.hadoop.fs.Path(p)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    paths.clear()
+        _MADE.remove(p)
+
+
+def name_of(key: Column, digest: Column) -> Column:
+    """16 bytes that name a document: of its key (null is no key's text) and the digest of its text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("")).cast("binary"), F.lit("|").cast("binary"), digest)))
+
+
+def text_digest(text: Column) -> Column:
+    """16 bytes; null counts as the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def split_off(rows: DataFrame, names: DataFrame, how: str, on: str = "__name") -> DataFrame:
+    """rows with (how = left_semi) or without (left_anti) the stored names.  A few names, counted, are broadcast, so that no
+    text moves; more are joined by a shuffle."""
+    small = names.count() <= MOST_NAMES
+    return rows.join(F.broadcast(names) if small else names, on, how)
 
 
 def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | T.StructType) -> DataFrame:

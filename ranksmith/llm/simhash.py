@@ -16,6 +16,8 @@ one row before all of this, so groups of exact copies cost nothing.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .components import components
-from .shared import columns_free_of, map_arrow, renamed, stored, stream_arrow
+from .shared import columns_free_of, map_arrow, mark, name_of, renamed, split_off, stored, stream_arrow, sweep, text_digest
 
 SHINGLE = 3
 DISTANCE = 2
@@ -82,9 +84,15 @@ def _nearest(points: np.ndarray) -> np.ndarray:
     return points ^ flip
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the fingerprint, anchor) for every anchor a fingerprint is sent to."""
-    around = np.concatenate([fp[:, None], fp[:, None] ^ _POINTS[None, :]], axis=1)
+def _flips(reach: int) -> np.ndarray:
+    """All patterns of at most ``reach`` set bits."""
+    return np.array([sum(1 << b for b in bits) for n in range(reach + 1) for bits in combinations(range(64), n)], np.uint64)
+
+
+def anchors(fp: np.ndarray, reach: int = DISTANCE // 2) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the fingerprint, anchor) for every anchor a fingerprint is sent to: those of all points within ``reach`` of
+    it, which are the anchors within the covering radius plus ``reach``."""
+    around = fp[:, None] ^ _flips(reach)[None, :]
     found = np.sort(_nearest(around), axis=1)
     new = np.ones(found.shape, dtype=bool)
     new[:, 1:] = found[:, 1:] != found[:, :-1]
@@ -104,17 +112,19 @@ def _stars(fp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return [fp[away]], [fp[label[away]]]
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, reach: int = DISTANCE // 2) -> DataFrame:
     """(a, b) between different fingerprints: enough links to connect all those at distance <= 2.
 
-    fps: one column ``fp`` (long), each value once.
+    fps: one column ``fp`` (long), each value once.  reach: how far beyond the covering radius a fingerprint is sent; half
+    of the threshold finds every link, and the whole of it finds the same ones at some sixty times the copies.
     """
+    step = 4096 if reach < 2 else 64
 
     def send(batch: pa.RecordBatch):
         values = batch.column(0).to_numpy().view(np.uint64)
-        for lo in range(0, len(values), 4096):
-            part = values[lo : lo + 4096]
-            which, anchor = anchors(part)
+        for lo in range(0, len(values), step):
+            part = values[lo : lo + step]
+            which, anchor = anchors(part, reach)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part[which].view(np.int64))], ["anchor", "fp"])
 
     def compare(batches):
@@ -163,14 +173,17 @@ def fingerprint(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _groups(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(key, fp) of every document, and (fp, component_id) of every different fingerprint; both stored."""
+    """(key, fp) of every document, and (fp, component_id) of every different fingerprint; both stored, and nothing else."""
+    spark, since = documents.sparkSession, mark()
     rows = stored(fingerprint(documents.select(key, text), text), "fingerprints")
     each = stored(rows.groupBy("fp").agg(F.min(key).alias("first")), "distinct-fingerprints")
     root = components(links(each.select("fp"))).withColumnRenamed("node", "fp")
-    joined = each.join(root, "fp")
+    joined = stored(each.join(root, "fp"), "rooted")
     lowest = joined.groupBy("root").agg(F.min("first").alias("lowest"))
-    linked = stored(joined.join(lowest, "root").select("fp", "lowest"), "linked")
-    return rows, stored(each.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "groups")
+    linked = joined.join(lowest, "root").select("fp", "lowest")
+    groups = stored(each.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "groups")
+    sweep(spark, since, rows, groups)
+    return rows, groups
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,13 +202,26 @@ def first_of_each_group(documents: DataFrame, key: str = "doc_id", text: str = "
     """The documents that stay: of each component the one with the smallest key (repeated rows of it once).
 
     A document is its key and the digest of its text, so unrelated texts under one key stay or go each by its own
-    component; of texts of one component under its smallest key the one with the smallest digest stays.  The documents
-    that stay come from the groups alone: no row meets the other copies of its text.  Rows without a key stay, since no
-    key names them as the copy of another.
+    component; of texts of one component under its smallest key the one with the smallest digest stays.  Rows without a
+    key stay, since no key names them as the copy of another.
+
+    What stays is decided on names of 16 bytes; the texts are then read once more and filtered by the names of those that
+    go.  Only rows that are repeated, key and text, meet in a shuffle, after partial aggregation.
     """
+    spark, since = documents.sparkSession, mark()
     rows, new = renamed(documents)
-    digest = F.sha2(F.coalesce(F.col(new[text]), F.lit("")).cast("binary"), 256)
-    rows = rows.withColumn("mark", F.when(F.col(new[key]).isNotNull(), F.struct(F.col(new[key]).alias("key"), digest.alias("digest"))))
-    stay = _groups(rows, "mark", new[text])[1].select(F.col("component_id").alias("mark")).where(F.col("mark").isNotNull()).distinct()
-    keyed = rows.where(F.col("mark").isNotNull()).join(stay, "mark", "left_semi").dropDuplicates(["mark"])
-    return keyed.select(*new.values()).unionAll(rows.where(F.col("mark").isNull()).select(*new.values())).toDF(*documents.columns)
+    who, digest = F.col(new[key]), text_digest(F.col(new[text]))
+    named = rows.withColumn("__name", F.when(who.isNotNull(), name_of(who, digest)))
+    small = rows.where(who.isNotNull()).withColumn("__mark", F.struct(who.alias("key"), digest.alias("digest")))
+    all_, group = _groups(small, "__mark", new[text])
+    name = name_of(F.col("m.key"), F.col("m.digest")).alias("__name")
+    stay = group.select(F.col("component_id").alias("m")).distinct().select(name)
+    times = stored(all_.select(F.col("__mark").alias("m")).select(name).groupBy("__name").agg(F.count("*").alias("n")), "names")
+    apart = stored(times.join(stay.withColumn("stays", F.lit(True)), "__name", "left").where("stays is null or n > 1"), "names-apart")
+    once = split_off(named.where(F.col("__name").isNotNull()), apart.select("__name"), "left_anti").select(*new.values())
+    out = once.unionAll(rows.where(who.isNull()))
+    again = apart.where("stays").select("__name")
+    if not again.isEmpty():
+        out = out.unionAll(split_off(named, again, "left_semi").dropDuplicates(["__name"]).select(*new.values()))
+    sweep(spark, since, apart)
+    return out.toDF(*documents.columns)

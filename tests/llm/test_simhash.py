@@ -100,3 +100,21 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     assert len({got[i] for i in range(301)}) == 1 and len({got[1000 + i] for i in range(200)}) == 1
     assert got[0] != got[1000] and len(got) == 501
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_radius_plus_whole_threshold_finds_the_same_links(spark):
+    rng = np.random.default_rng(7)
+    fps = set(rng.integers(0, 1 << 63, 20).tolist())
+    for x in list(fps)[:10]:
+        for _ in range(3):
+            for b in rng.choice(64, int(rng.integers(1, 4)), replace=False):
+                x ^= 1 << int(b)
+            fps.add(x)
+    frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").repartition(3)
+    half, whole = ({}, {})
+    for got, reach in ((half, 1), (whole, 2)):
+        for r in components(simhash.links(frame, reach)).collect():
+            got.setdefault(r["root"], set()).add(r["node"])
+    assert half and sorted(map(sorted, half.values())) == sorted(map(sorted, whole.values()))
+    which, anchor = simhash.anchors(np.array([12345], np.uint64), 2)
+    assert set(simhash.anchors(np.array([12345], np.uint64))[1].tolist()) < set(anchor.tolist()) and len(anchor) > 600
