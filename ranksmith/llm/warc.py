@@ -14,8 +14,9 @@ the join is one that adaptive execution can split.
 Defined results for odd input
     null or empty html: an empty payload, always a response.  repeated rows with the smallest page_id: each a response.
     null page_id: kept; it is a response only where no equal payload has an id.  null url: no target URI; control
-    characters in a url are percent-encoded.  Payloads of any length are streamed to the archive whole.  Empty table:
-    empty result.  Extra columns play no part.
+    characters in a url are percent-encoded, ids of any type are kept as percent-encoded text.  Payloads of any length are
+    streamed to the archive whole.  Empty table: empty result.  Extra columns play no part.  An archive whose gzip stream
+    or last record is cut off: an error.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -55,15 +57,15 @@ def _clean(url: str | None) -> str | None:
     return None if url is None else "".join(f"%{ord(c):02X}" if ord(c) < 33 else c for c in url)
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def page_record(page_id: object, url: str | None, payload: bytes, digest: str, kind: str, refers_to: object) -> bytes:
     """An HTTP response, or the headers alone with a reference for a payload that another record holds."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n"
     headers = {
         "WARC-Target-URI": _clean(url),
         "WARC-Payload-Digest": f"sha256:{digest}",
-        "WARC-Page-ID": None if page_id is None else str(page_id),
+        "WARC-Page-ID": None if page_id is None else quote(str(page_id)),
         "WARC-Payload-Length": str(len(payload)),
-        "WARC-Refers-To-Page-ID": None if refers_to is None else str(refers_to),
+        "WARC-Refers-To-Page-ID": None if refers_to is None else quote(str(refers_to)),
         "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if kind == "revisit" else None,
         "Content-Type": "application/http; msgtype=response",
     }
@@ -71,10 +73,11 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
 
 
 class _Inflated(io.RawIOBase):
-    """The plain bytes of a gzip file of one or several members, with a bounded buffer."""
+    """The plain bytes of a gzip file of one or several members, with a bounded buffer.  A file that ends before its last
+    member does, checksum and length included, is an error: what was read till then is not the whole."""
 
     def __init__(self, source):
-        self.source, self.z, self.rest, self.out = source, zlib.decompressobj(31), b"", b""
+        self.source, self.z, self.rest, self.out, self.begun = source, zlib.decompressobj(31), b"", b"", False
 
     def readable(self) -> bool:
         return True
@@ -83,9 +86,12 @@ class _Inflated(io.RawIOBase):
         while not self.out:
             data = self.rest or self.source.read(BLOCK)
             if not data:
+                if self.begun and not self.z.eof:
+                    raise EOFError("the gzip stream is cut off")
                 return 0
             if self.z.eof:
                 self.z = zlib.decompressobj(31)
+            self.begun = True
             self.out = self.z.decompress(data, BLOCK)
             self.rest = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
         n = min(len(into), len(self.out))
@@ -218,12 +224,14 @@ def _parsed(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, plain.read(int(fields["content-length"]))
 
 
-def read_pages(archives: DataFrame) -> DataFrame:
-    """The page records of normalised archives, each fetched by its index entry; responses are checked against their digest."""
+def read_pages(archives: DataFrame, id_type: str = "long") -> DataFrame:
+    """The page records of normalised archives, each fetched by its index entry; responses are checked against their digest.
+
+    id_type: the type of the pages' ids, which the archives hold as text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             for path, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, at = _open(path)
@@ -240,15 +248,16 @@ def read_pages(archives: DataFrame) -> DataFrame:
                             payload = block.split(b"\r\n\r\n", 1)[1]
                             if len(payload) != n or hashlib.sha256(payload).hexdigest() != digest:
                                 raise ValueError(f"{path}: the record at {offset} does not hold its payload")
-                        number = lambda k: int(fields[k]) if k in fields else None  # noqa: E731, B023
-                        rows.append([number("warc-page-id"), n, digest, kind, number("warc-refers-to-page-id")])
+                        name = lambda k: unquote(fields[k]) if k in fields else None  # noqa: E731, B023
+                        rows.append([name("warc-page-id"), n, digest, kind, name("warc-refers-to-page-id")])
                         if len(rows) >= 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                             rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return stream_arrow(archives.select("path", "index_path"), work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    got = stream_arrow(archives.select("path", "index_path"), work, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return got.select(F.col("page_id").cast(id_type), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type))
 
 
 def archive(pages: DataFrame) -> DataFrame:
@@ -261,7 +270,7 @@ def archive(pages: DataFrame) -> DataFrame:
 
 
 def op10_warc(pages: DataFrame) -> DataFrame:
-    return read_pages(archive(pages))
+    return read_pages(archive(pages), pages.schema["page_id"].dataType.simpleString())
 
 
 OP10_SQL = """

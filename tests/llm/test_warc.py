@@ -4,6 +4,7 @@ import io
 import zlib
 
 import pyarrow.fs as pafs
+import pytest
 
 from ranksmith.llm import warc
 
@@ -66,3 +67,22 @@ def test_normalise_reads_any_gzip_layout():
         data = sink.getvalue()
         assert [zlib.decompress(data[o : o + n], 31) for _, _, o, n in entries] == records
         assert gzip.decompress(data) == plain_
+
+
+def test_a_cut_off_archive_is_an_error():
+    """No checksum, a cut within the data, and a stream cut at a flush point after a whole record."""
+    records = [warc.record("response", str(i), {}, bytes([i]) * 500) for i in range(2)]
+    whole = gzip.compress(b"".join(records))
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    flushed = z.compress(records[0]) + z.flush(zlib.Z_FULL_FLUSH)
+    for cut in (whole[:-8], whole[:-1], whole[: len(whole) // 2], flushed, whole + whole[:-3]):
+        with pytest.raises((EOFError, ValueError)):
+            list(warc.normalise(io.BytesIO(cut), io.BytesIO()))
+    assert len(list(warc.normalise(io.BytesIO(whole + whole), io.BytesIO()))) == 4 and not list(warc.normalise(io.BytesIO(b""), io.BytesIO()))
+
+
+def test_text_ids(spark):
+    big = "<p>same</p>" * 40
+    frame = spark.createDataFrame([("b\nc: d", "u", big), ("a é", "u", big), ("z", "u", "short")], "page_id string, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.op10_warc(frame).collect()}
+    assert got == {"a é": ("response", None), "b\nc: d": ("revisit", "a é"), "z": ("response", None)}
