@@ -10,7 +10,8 @@ code and the pixel after it: a copy from an earlier place.  Lengths are resolved
 over all at once.
 
 Payload columns: bytes are stored as samples of frames 96 pixels wide with a 256-grey palette, at most 96 rows a frame,
-so that index and grey value are the byte itself and reading back is exact.
+so that index and grey value are the byte itself and reading back is exact.  What is read back is the screen as composed
+for each frame, cut to the frame's box.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernel
 from .shared import map_arrow
@@ -267,17 +269,31 @@ def padded(data: bytes) -> bytes:
     return data + b"\xff" * (max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data))
 
 
-_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_cs int"
+_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_cs int, frames array<struct<delay_cs:int,red:array<int>,green:array<int>,blue:array<int>>>"
+_FRAMES = pa.list_(pa.struct([("delay_cs", pa.int32()), *((c, pa.list_(pa.int32())) for c in ("red", "green", "blue"))]))
+
+
+def shown(gif: Gif) -> Iterator[np.ndarray]:
+    """Each frame's box of the composed screen: what a viewer sees of it, disposal and transparency applied."""
+    for f, screen in zip(gif.frames, gif.composed(), strict=True):
+        yield screen[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1]]
+
+
+def histograms(box: np.ndarray) -> list[list[int]]:
+    """Counts of red, green and blue by eighths of the scale."""
+    return [np.bincount((box[..., c] >> 5).ravel(), minlength=BINS).tolist() for c in range(3)]
 
 
 def media_columns(documents: DataFrame, key: str = "doc_id", text: str = "text", keep_media: bool = False) -> DataFrame:
-    """Each text stored as a GIF and read back: digests, sizes, timing and a colour histogram (keep_media: the GIF too).
+    """Each text stored as a GIF and read back: digests, sizes, and frames with their delays and colour histograms
+    (keep_media: the GIF too).
 
-    feature: counts of the decoded samples by eighths of the grey scale, comma-joined.  null and empty texts: one unit of
+    feature: counts of the samples by eighths of the grey scale, comma-joined (the payload's frames are grey).  null and empty texts: one unit of
     padding.  Texts of any length: as many frames as they need.  Repeated rows: each its row, with equal values for
     equal texts.  Empty table: empty result.  Other columns are dropped, so names cannot clash.
     """
-    names = [x.split()[0] for x in _SCHEMA.split(", ")] + (["media"] if keep_media else [])
+    kinds = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int32()), ("duration_cs", pa.int32()), ("frames", _FRAMES)]
+    names, types = zip(*kinds, *([("media", pa.binary())] if keep_media else []), strict=True)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for p in kernel.slices(batch.column(1)):
@@ -285,16 +301,20 @@ def media_columns(documents: DataFrame, key: str = "doc_id", text: str = "text",
             for s, e in zip(p.offsets[:-1].tolist(), p.offsets[1:].tolist(), strict=True):
                 media = encode(padded(raw[s:e]))
                 gif = decode(media)
-                back = b"".join(f.palette[f.indices.ravel(), 0].tobytes() for f in gif.frames)
-                counts = np.bincount(np.frombuffer(back, np.uint8) >> 5, minlength=BINS)
-                row = [e - s, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, counts)), len(gif.frames), sum(f.delay for f in gif.frames)]
+                samples, frames = [], []
+                for f, box in zip(gif.frames, shown(gif), strict=True):
+                    samples.append(box[..., 0].tobytes())
+                    frames.append(dict(zip(("delay_cs", "red", "green", "blue"), (f.delay, *histograms(box)), strict=True)))
+                back = b"".join(samples)
+                counts = [sum(x) for x in zip(*(f["red"] for f in frames), strict=True)]
+                row = [e - s, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, counts)), len(frames), sum(f["delay_cs"] for f in frames), frames]
                 rows.append(row + [media] if keep_media else row)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[p.lo : p.hi], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types))], [key, *names])  # noqa: B905
+            yield pa.RecordBatch.from_arrays([batch.column(0)[p.lo : p.hi], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], [key, *names])
 
     kind = documents.schema[key].dataType.simpleString()
     return map_arrow(documents.select(key, text), work, f"{key} {kind}, {_SCHEMA}" + (", media binary" if keep_media else ""))
 
 
 def op9_gif(documents: DataFrame) -> DataFrame:
-    return media_columns(documents)
+    """The query's columns; the frames, their delays and colour histograms as JSON."""
+    return media_columns(documents).withColumn("frames", F.to_json("frames"))

@@ -141,3 +141,15 @@ def test_odd_rows(spark):
     assert gif.op9_gif(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         gif.decode(b"PNG")
+
+
+def test_what_is_read_back_is_the_composed_screen(spark, small):
+    """A frame's box as shown, not its indices: transparent pixels show what is below, and so count in the histograms."""
+    base, spot = np.ones((10, 6), int), np.array([[2, 0], [0, 2]])
+    g = gif.decode(animation(frame(base), frame(spot, 1, 1, disposal=2, clear=0)))
+    whole, box = gif.shown(g)
+    assert whole.shape == (10, 6, 3) and box.tolist() == [[[0, 255, 0], [255, 0, 0]], [[255, 0, 0], [0, 255, 0]]]
+    assert gif.histograms(box) == [[2, 0, 0, 0, 0, 0, 0, 2], [2, 0, 0, 0, 0, 0, 0, 2], [4, 0, 0, 0, 0, 0, 0, 0]]
+    for r in gif.media_columns(spark.read.parquet(f"{small}/documents.parquet"), keep_media=True).limit(20).collect():
+        again = gif.decode(bytes(r["media"]))
+        assert [(f["delay_cs"], [f["red"], f["green"], f["blue"]]) for f in r["frames"]] == [(f.delay, gif.histograms(b)) for f, b in zip(again.frames, gif.shown(again), strict=True)]
