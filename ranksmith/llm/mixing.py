@@ -5,7 +5,7 @@ is shared again among the others, until none is above.  In order of cap per weig
 one pass over the per-source sums finds the water level.
 
 Repetitions.  Every document of a source is taken floor(target / size) times, and the words still missing come from one
-more repetition of some of its documents: those first in a seeded order (md5 of seed and key), up to the document
+more repetition of some of its documents: those first in a seeded order (md5 of seed, key and text), up to the document
 that brings the sum nearest to the target.  Where that order crosses the missing amount is found by a radix search: sums
 by source and the first three hex digits, then, inside the digit that crosses, by the next three, then row by row in the
 one cell left, about a sixteen-millionth of a source.  No source's rows meet in one task; each level moves sums only.
@@ -58,7 +58,9 @@ def targets(sums: DataFrame, how: Mix) -> DataFrame:
 
 
 def _sized(documents: DataFrame, key: str, text: str, source: str, how: Mix) -> DataFrame:
-    return documents.withColumn("size", word_count(text)).withColumn("__h", digest_text(str(how.seed), F.col(key)))
+    """The order's digest is of key and text, so rows that share a key, or have none, are not one cell of the search."""
+    body = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return documents.withColumn("size", word_count(text)).withColumn("__h", digest_text(str(how.seed), F.col(key), body))
 
 
 def _crossing(rows: DataFrame, digit: Column) -> DataFrame:
@@ -124,7 +126,7 @@ def repeated(documents: DataFrame, how: Mix = Mix()) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('11|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, source, md5('11|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS h,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

@@ -119,8 +119,9 @@ def items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated) for every document."""
-    spark = documents.sparkSession
+    spark, asked = documents.sparkSession, key
     prints = stored(items(benchmark, item, text), "benchmark-fingerprints")
+    documents, key, text = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key", "__text"
     bit = F.shiftrightunsigned(F.col("hash"), 64 - BITS)
     # At most 2**BITS / 64 rows, however large the benchmark is.
     cells = prints.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITS}) & 63 as int))")).alias("bits")).toArrow()
@@ -183,7 +184,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     each = each.select(F.col(key).alias("__k"), F.col("same").alias("__s"), merged["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
     slim = rows.select(key, "same", "n_words")
     joined = slim.join(stored(each, "decontamination-hits"), slim[key].eqNullSafe(F.col("__k")) & (slim["same"] == F.col("__s")), "left")
-    return joined.select(key, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0).cast("long")) > 0).alias("contaminated"))
+    return joined.select(F.col(key).alias(asked), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0).cast("long")) > 0).alias("contaminated"))
 
 
 OP5_SQL = r"""

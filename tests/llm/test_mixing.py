@@ -70,3 +70,9 @@ def test_repeated_rows_keep_their_columns(spark, small):
     copies = {r["doc_id"]: r["copies"] for r in mixing.op2_mixing(docs).collect()}
     counts = {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert counts == {i: c for i, c in copies.items() if c}
+
+
+def test_rows_without_a_key_are_chosen_by_their_text(spark):
+    docs = spark.range(400).selectExpr("cast(null as long) as doc_id", "concat('word number ', id) as text", "if(id % 4 = 0, 'a', 'b') as source")
+    a, b = (mixing.mix(d).select("text", "copies", "target", "source").toPandas().sort_values("text").reset_index(drop=True) for d in (docs, docs.repartition(9)))
+    assert a.equals(b) and a[a.source == "b"].copies.nunique() == 2

@@ -40,3 +40,12 @@ def test_odd_rows(spark):
     assert {r["text_crc32"] for r in got if r["doc_id"] == 2} == {0}
     assert len({r["slot"] for r in got if r["doc_id"] == 6}) == 2  # a repeated row has a slot of its own
     assert sharding.op7_sharding(empty(spark)).count() == 0
+
+
+def test_rows_without_a_key_are_no_one_cell(spark):
+    """Rows that share a key are numbered in many cells: the order's digest is of key and text."""
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text")
+    got = sharding.op7_sharding(docs).collect()
+    assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(3000))
+    again = {r["text_crc32"]: r["slot"] for r in sharding.op7_sharding(docs.repartition(7)).collect()}
+    assert again == {r["text_crc32"]: r["slot"] for r in got}
