@@ -1,9 +1,9 @@
 """Language-model scores: a gated recurrent network with a class-factored output, beside a smoothed unigram base.
 
-Counts.  Every training token is counted, by a 64-bit hash of its bytes, in one pass with partial sums.  ``head`` is the
-set of all words at or above a count such that there are at most ``MOST_HEAD`` of them, found from a histogram of
-logarithmic count bands; it is broadcast with a proven bound.  The counts of rarer words are joined to the few places
-where they occur, never broadcast.
+Counts.  Every training token is counted by its bytes in one pass with partial sums; hashes only sort words before
+their bytes are compared, so no two words are taken for one.  The head are all words of at most ``MOST_WORD`` bytes at or
+above a count such that there are at most ``MOST_HEAD`` of them, found from a histogram of logarithmic count bands; it is
+broadcast with that bound, 21 MB.  The counts of rarer words are joined to the places where they occur, never broadcast.
 
 Output.  P(word) = P(class | state) * P(word | class).  The ``WORDS`` most frequent words form ``CLASSES`` classes with
 a softmax of their own over the state; further head words form one class per octave of their count and the rest one
@@ -40,66 +40,69 @@ from . import kernel
 from .shared import fold, stored, stream_arrow
 
 FOLD, HELD_OUT = 10, 0
-MOST_HEAD = 1 << 18
-WORDS, CLASSES, BANDS = 2048, 32, 40
+MOST_HEAD, MOST_WORD = 1 << 18, 64
+WORDS, CLASSES, BANDS = 2048, 32, 24
 PER_CLASS = WORDS // CLASSES
 RARE = CLASSES + BANDS
 HIDDEN = 16
-WINDOW = 32
-TRAIN_LANES, SCORE_LANES = 32, 256
+WINDOW, SCORE_WINDOW = 16, 32
+TRAIN_LANES, TRAIN_LEAST, SCORE_LANES = 256, 64, 256
 RATE = 0.15
+MOST_LOGIT = 60.0
 BLOCK_BYTES = 4 << 20
 ADD = 0.1
-END_HASH = np.uint64(0xE0D0E0D0E0D0E0D1)
+END = b""  # the end token; no word is empty
 _F = np.float32
 
 
 # ---- tokens ---------------------------------------------------------------------------------------------------------
 
 
-def token_hashes(piece: kernel.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of each row's words and its end token, in order, and the number of tokens per row."""
-    w = kernel.words(piece)
-    return np.insert(w.hash, np.cumsum(w.counts), END_HASH), w.counts + 1
-
-
-class Head:
-    """Frequent words by hash: position in the sorted hashes, or -1."""
+@dataclass
+class Tokens:
+    """The tokens of some rows: each row's words and its end token, as numbers of the different words.  The spans name the
+    words' bytes in ``data``; the end token is an empty span, and the last number."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes, self.shift = hashes, np.uint64(44)
-        self.start = np.searchsorted(hashes >> self.shift, np.arange((1 << 20) + 1, dtype=np.uint64))
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray  # tokens per row
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int32)
-        if not len(self.hashes):
-            return out
-        cell = (h >> self.shift).astype(np.int64)
-        at, stop = self.start[cell], self.start[cell + 1]
-        left = np.flatnonzero(at < stop)
-        at, stop = at[left], stop[left]
-        while len(left):
-            same = self.hashes[at] == h[left]
-            out[left[same]] = at[same]
-            go = ~same & (at + 1 < stop)
-            left, at, stop = left[go], at[go] + 1, stop[go]
-        return out
+    @classmethod
+    def of(cls, pieces: list[kernel.Slice]) -> Tokens:
+        found = [kernel.words(p) for p in pieces]
+        low = np.concatenate([kernel.LOWER[p.data] for p in pieces])
+        base = np.cumsum([0, *(len(p.data) for p in pieces[:-1])])
+        start, end = (np.concatenate([getattr(w, side) + at for w, at in zip(found, base, strict=True)]) for side in ("start", "end"))
+        first, back = kernel.distinct(low, start, end, np.concatenate([w.hash for w in found]))
+        counts = np.concatenate([w.counts for w in found])
+        ids = np.insert(back, np.cumsum(counts), len(first))
+        return cls(low, np.append(start[first], 0), np.append(end[first], 0), ids, counts + 1)
 
 
 @dataclass
 class Lexicon:
-    """The head words with their classes, and the totals of the training tokens."""
+    """The head words, the most frequent first (ties by their bytes), with their classes, and the totals of the training
+    tokens.  Word i is the bytes offsets[i] to offsets[i + 1]."""
 
-    hashes: np.ndarray  # sorted
+    data: np.ndarray
+    offsets: np.ndarray
     counts: np.ndarray
     tokens: int  # N
     types: int  # V
 
+    @classmethod
+    def of(cls, counts: dict[bytes, int], tokens: int, types: int) -> Lexicon:
+        words = sorted(counts, key=lambda w: (-counts[w], w))
+        return cls(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]), np.array([counts[w] for w in words], np.int64), tokens, types)
+
+    def packed(self) -> tuple:
+        return self.data, self.offsets, self.counts, self.tokens, self.types
+
     def __post_init__(self):
-        order = np.lexsort((self.hashes, -self.counts))  # by count, ties by hash
-        n = len(order)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
+        n = len(self.counts)
+        rank = np.arange(n)
         listed = rank < WORDS
         band = np.minimum(np.log2(np.maximum(self.counts, 1)).astype(np.int64), BANDS - 1)
         self.cls = np.where(listed, rank // PER_CLASS, CLASSES + band).astype(np.int16)
@@ -119,6 +122,41 @@ class Lexicon:
         self.class_log = np.where(mass > 0, np.log(np.maximum(mass, 1e-9) / max(mass.sum(), 1e-9)), -30.0)
 
 
+class Head:
+    """The number of a word in the lexicon, or -1."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.data, self.offsets = lexicon.data, lexicon.offsets
+        full = np.flatnonzero(np.diff(self.offsets))
+        self.end_token = int(np.flatnonzero(np.diff(self.offsets) == 0)[0]) if len(full) < len(self.offsets) - 1 else -1
+        h = kernel.span_hash(self.data, self.offsets[full], self.offsets[full + 1])
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.word = h[order], full[order]
+        again = np.flatnonzero(self.hashes[1:] == self.hashes[:-1]) + 1  # words with the hash of the one before
+        self.more = {self.data[self.offsets[w] : self.offsets[w + 1]].tobytes(): int(w) for w in self.word[again]}
+
+    def find(self, tokens: Tokens) -> np.ndarray:
+        """For each different word of the tokens, the end token last."""
+        out = np.full(len(tokens.start), -1, np.int32)
+        out[-1] = self.end_token
+        if not len(self.hashes) or len(out) == 1:
+            return out
+        start, end = tokens.start[:-1], tokens.end[:-1]
+        h = kernel.span_hash(tokens.data, start, end)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        word = self.word[at]
+        maybe = np.flatnonzero(self.hashes[at] == h)
+        known = self.offsets[word[maybe]]
+        same = self.offsets[word[maybe] + 1] - known == end[maybe] - start[maybe]
+        maybe, known = maybe[same], known[same]
+        good = kernel.equal(tokens.data, start[maybe], self.data, known, end[maybe] - start[maybe])
+        out[maybe[good]] = word[maybe[good]]
+        if self.more:
+            for i in np.flatnonzero(out[:-1] < 0).tolist():
+                out[i] = self.more.get(tokens.data[start[i] : end[i]].tobytes(), -1)
+        return out
+
+
 # ---- network --------------------------------------------------------------------------------------------------------
 
 
@@ -164,11 +202,13 @@ class Network:
     def output(self, h: np.ndarray, cls: np.ndarray, place: np.ndarray, grads: dict[str, np.ndarray] | None = None):
         """Natural log-probability of the class, and of the word in it where the class has a softmax; with grads, also
         the gradient of the loss at the states."""
-        out, back = self._softmax(h @ self.w["Wc"] + self.w["bc"], cls)
+        logit = h @ self.w["Wc"]
+        logit += self.w["bc"]
+        out, back = self._softmax(logit, cls)
         dh = None
         if grads is not None:
             grads["Wc"] += h.T @ back
-            grads["bc"] += back.sum(axis=0)
+            grads["bc"] += np.ones(len(back), back.dtype) @ back
             dh = back @ self.w["Wc"].T
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
@@ -192,12 +232,15 @@ class Network:
 
     @staticmethod
     def _softmax(logit, target):
-        logit -= logit.max(axis=1, keepdims=True)
-        p = np.exp(logit)
-        total = p.sum(axis=1)
+        """log p of the targets, and p - 1 there.  Logits are held within MOST_LOGIT, so no row needs its maximum; sums over a
+        row are products with ones, which BLAS does many times faster than a reduction over so few columns."""
+        np.clip(logit, -MOST_LOGIT, MOST_LOGIT, out=logit)
         rows = np.arange(len(logit))
-        out = logit[rows, target] - np.log(total)
-        p /= total[:, None]
+        out = logit[rows, target]
+        p = np.exp(logit, out=logit)
+        total = p @ np.ones(p.shape[1], p.dtype)
+        out -= np.log(total)
+        p *= (1 / total)[:, None]
         p[rows, target] -= 1
         return out, p
 
@@ -230,6 +273,17 @@ class Lanes:
         length = length[by]
         return cls(order, np.cumsum(length) - length, length, first)
 
+    @classmethod
+    def even(cls, counts: np.ndarray, lanes: int) -> Lanes:
+        """All documents in one row, cut into lanes of equal length (to a token), each of TRAIN_LEAST tokens at least: for
+        training, where a document that a cut divides goes on in the next lane from an empty state."""
+        n = int(counts.sum())
+        lanes = max(1, min(lanes, n // TRAIN_LEAST))
+        length = n // lanes + (np.arange(lanes) < n % lanes)
+        first = np.zeros(n, bool)
+        first[np.cumsum(counts) - counts] = True
+        return cls(np.arange(n), np.cumsum(length) - length, length, first)
+
     def windows(self, size: int) -> Iterator[list[np.ndarray]]:
         """Token numbers of the lanes still running, step by step, a window at a time."""
         for lo in range(0, int(self.length[0]) if len(self.length) else 0, size):
@@ -249,13 +303,13 @@ class Block:
     counts: np.ndarray
 
     @classmethod
-    def of(cls, hashes: np.ndarray, counts: np.ndarray, lexicon: Lexicon, head: Head) -> Block:
-        at = head.find(hashes)
-        if not len(lexicon.hashes):
-            n = len(at)
-            return cls(at, np.full(n, RARE, np.int16), np.zeros(n, np.int16), np.full(n, WORDS + BANDS, np.int32), counts)
-        known = at >= 0
-        return cls(at, np.where(known, lexicon.cls[at], RARE), np.where(known, lexicon.place[at], 0), np.where(known, lexicon.input[at], WORDS + BANDS), counts)
+    def of(cls, tokens: Tokens, lexicon: Lexicon, head: Head) -> Block:
+        word = head.find(tokens)
+        known, n = word >= 0, len(word)
+        parts = [np.full(n, RARE, np.int16), np.zeros(n, np.int16), np.full(n, WORDS + BANDS, np.int32)]
+        for part, of in zip(parts, (lexicon.cls, lexicon.place, lexicon.input), strict=True):
+            part[known] = of[word[known]]
+        return cls(word[tokens.ids], *(x[tokens.ids] for x in parts), tokens.counts)
 
 
 def score_block(net: Network, block: Block) -> np.ndarray:
@@ -263,7 +317,7 @@ def score_block(net: Network, block: Block) -> np.ndarray:
     lex, out = net.lexicon, np.zeros(len(block.head))
     lanes = Lanes.of(block.counts, SCORE_LANES)
     h = np.zeros((len(lanes.length), HIDDEN), _F)
-    for steps in lanes.windows(WINDOW):
+    for steps in lanes.windows(SCORE_WINDOW):
         seen = []
         for tokens in steps:
             k = len(tokens)
@@ -282,7 +336,7 @@ def score_block(net: Network, block: Block) -> np.ndarray:
 def train_block(net: Network, block: Block, state: dict[str, np.ndarray]) -> None:
     """One pass of truncated backpropagation over the block; state: Adagrad's sums of squares."""
     w = net.w
-    lanes = Lanes.of(block.counts, TRAIN_LANES)
+    lanes = Lanes.even(block.counts, TRAIN_LANES)
     h = np.zeros((len(lanes.length), HIDDEN), _F)
     H = HIDDEN
     for steps in lanes.windows(WINDOW):
@@ -301,7 +355,10 @@ def train_block(net: Network, block: Block, state: dict[str, np.ndarray]) -> Non
         grads = {k: np.zeros_like(w[k]) for k in ("Wc", "bc", "Wo", "bo")}
         _, d_out = net.output(before, block.cls[tokens], block.place[tokens], grads)
         to_n = (1 - z) * (1 - n * n)
-        to_u = np.stack([to_n * un * r * (1 - r), (before - n) * z * (1 - z), to_n * r], axis=1)
+        to_u = np.empty((len(tokens), 3, H), _F)
+        to_u[:, 2] = to_n * r
+        np.multiply(to_u[:, 2] * un, 1 - r, out=to_u[:, 0])
+        np.multiply((before - n) * z, 1 - z, out=to_u[:, 1])
         down, after, back_u = np.zeros_like(h), np.empty_like(before), np.ascontiguousarray(w["U"].T)
         for s, begins in zip(spans[::-1], new[::-1], strict=True):
             k = s.stop - s.start
@@ -333,49 +390,46 @@ def train_block(net: Network, block: Block, state: dict[str, np.ndarray]) -> Non
 # ---- on the cluster -------------------------------------------------------------------------------------------------
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, most: int = BLOCK_BYTES) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
-    """Rows, token hashes and tokens per row, for some ``most`` bytes of text at a time."""
+def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, most: int = BLOCK_BYTES) -> Iterator[tuple[list[pa.RecordBatch], Tokens]]:
+    """Rows and their tokens, for some ``most`` bytes of text at a time: what a task holds is bounded by that and its longest text."""
     held: list[pa.RecordBatch] = []
-    hashes, counts, size = [], [], 0
+    pieces, size = [], 0
     for batch in batches:
         for p in kernel.slices(batch.column(text_at)):
-            h, n = token_hashes(p)
             held.append(batch.slice(p.lo, p.rows))
-            hashes.append(h), counts.append(n)
+            pieces.append(p)
             size += len(p.data)
             if size >= most:
-                yield held, np.concatenate(hashes), np.concatenate(counts)
-                held, hashes, counts, size = [], [], [], 0
+                yield held, Tokens.of(pieces)
+                held, pieces, size = [], [], 0
     if held:
-        yield held, np.concatenate(hashes), np.concatenate(counts)
+        yield held, Tokens.of(pieces)
 
 
 def token_counts(train: DataFrame, text: str = "text") -> DataFrame:
-    """(hash, c) over all training tokens."""
+    """(word, c) over all training tokens; the end token is the empty word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashes, _ in _blocks(batches, 0, 4 * BLOCK_BYTES):
-            h, n = np.unique(hashes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["hash", "n"])
+        for _, t in _blocks(batches, 0):
+            yield pa.RecordBatch.from_arrays([kernel.binary(t.data, t.start, t.end), pa.array(np.bincount(t.ids, minlength=len(t.start)))], ["word", "n"])
 
-    return stream_arrow(train.select(text), work, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("c"))
+    return stream_arrow(train.select(text), work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def lexicon_of(counts: DataFrame) -> Lexicon:
-    """The head and totals of a stored count table; collects at most MOST_HEAD rows."""
+    """The head and totals of a stored count table; collects at most MOST_HEAD words of at most MOST_WORD bytes."""
     band = F.floor(F.log2("c") * 16).cast("int")
-    bands = sorted(((r["b"], r["n"], r["s"]) for r in counts.groupBy(band.alias("b")).agg(F.count("*").alias("n"), F.sum("c").alias("s")).collect()), reverse=True)
-    types, tokens, taken, least = sum(b[1] for b in bands), sum(b[2] for b in bands), 0, None
-    for b, n, _ in bands:
+    short = F.octet_length("word") <= MOST_WORD
+    sums = counts.groupBy(band.alias("b")).agg(F.count_if(short).alias("n"), F.count("*").alias("v"), F.sum("c").alias("s")).collect()
+    types, tokens, taken, least = sum(r["v"] for r in sums), sum(r["s"] for r in sums), 0, None
+    for b, n in sorted(((r["b"], r["n"]) for r in sums), reverse=True):
         if taken + n > MOST_HEAD:
             break
         taken, least = taken + n, b
     if least is None:
-        return Lexicon(np.empty(0, np.uint64), np.empty(0, np.int64), int(tokens), int(types))
-    got = counts.where(band >= least).toArrow()
-    h = got["hash"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return Lexicon(h[order], got["c"].to_numpy()[order].astype(np.int64), int(tokens), int(types))
+        return Lexicon.of({}, int(tokens), int(types))
+    got = counts.where((band >= least) & short).toArrow()
+    return Lexicon.of(dict(zip(got["word"].to_pylist(), got["c"].to_pylist(), strict=True)), int(tokens), int(types))
 
 
 def _tree_mean(parts: DataFrame, n: int) -> np.ndarray | None:
@@ -405,14 +459,14 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
     counts = stored(token_counts(train, text), "lm-counts")
     lexicon = lexicon_of(counts)
     net = Network(lexicon)
-    packed = spark.sparkContext.broadcast((lexicon.hashes, lexicon.counts, lexicon.tokens, lexicon.types))
+    packed = spark.sparkContext.broadcast(lexicon.packed())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(Lexicon(*packed.value))
-        head, state, seen = Head(own.lexicon.hashes), {k: np.full_like(v, 1e-6) for k, v in own.w.items()}, 0
-        for _, hashes, n in _blocks(batches, 0):
-            train_block(own, Block.of(hashes, n, own.lexicon, head), state)
-            seen += len(hashes)
+        head, state, seen = Head(own.lexicon), {k: np.full_like(v, 1e-6) for k, v in own.w.items()}, 0
+        for _, tokens in _blocks(batches, 0):
+            train_block(own, Block.of(tokens, own.lexicon, head), state)
+            seen += len(tokens.ids)
         if seen:
             flat = np.concatenate([own.w[k].ravel() for k in Network.NAMES]).astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([flat.tobytes()], pa.binary())], ["weight", "sum"])
@@ -430,38 +484,34 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
 def score(documents: DataFrame, net: Network, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every document."""
     spark, lex = documents.sparkSession, net.lexicon
-    packed = spark.sparkContext.broadcast(((lex.hashes, lex.counts, lex.tokens, lex.types), net.w))
+    packed = spark.sparkContext.broadcast((lex.packed(), net.w))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = packed.value
         own = Network(Lexicon(*words), weights)
-        head = Head(own.lexicon.hashes)
-        for held, hashes, n in _blocks(batches, 1):
-            block = Block.of(hashes, n, own.lexicon, head)
+        head = Head(own.lexicon)
+        for held, tokens in _blocks(batches, 1):
+            block, n = Block.of(tokens, own.lexicon, head), tokens.counts
             row = np.repeat(np.arange(len(n)), n)
             known = block.head >= 0
             total = lambda v, of=row, m=len(n): np.bincount(of, weights=v, minlength=m)
             model = total(score_block(own, block))
             base = total(own.lexicon.base[block.head[known]], row[known]) if known.any() else np.zeros(len(n))
-            rare_row, rare_hash = row[~known], hashes[~known]
-            order = np.lexsort((rare_hash, rare_row))
-            rare_row, rare_hash = rare_row[order], rare_hash[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (rare_row[1:] != rare_row[:-1]) | (rare_hash[1:] != rare_hash[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(order)))
-            offsets = np.searchsorted(rare_row[at], np.arange(len(n) + 1)).astype(np.int32)
-            pair = pa.StructArray.from_arrays([pa.array(rare_hash[at].view(np.int64)), pa.array(times.astype(np.int32))], ["hash", "n"])
+            types = len(tokens.start)
+            pair, times = np.unique(row[~known] * types + tokens.ids[~known], return_counts=True)
+            word = pair % types
+            offsets = np.searchsorted(pair // types, np.arange(len(n) + 1)).astype(np.int32)
+            rare = pa.StructArray.from_arrays([kernel.binary(tokens.data, tokens.start[word], tokens.end[word]), pa.array(times.astype(np.int32))], ["word", "n"])
             keys = pa.concat_arrays([b.column(0) for b in held])
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(n.astype(np.int64)), pa.array(total(known.astype(float)).astype(np.int64)), pa.array(base), pa.array(model), pa.ListArray.from_arrays(pa.array(offsets), pair)],
+                [keys, pa.array(n.astype(np.int64)), pa.array(total(known.astype(float)).astype(np.int64)), pa.array(base), pa.array(model), pa.ListArray.from_arrays(pa.array(offsets), rare)],
                 [key, "n_tokens", "known", "base", "model", "rare"],
             )
 
     kind = documents.schema[key].dataType.simpleString()
-    seen = stream_arrow(documents.select(key, text), work, f"{key} {kind}, n_tokens long, known long, base double, model double, rare array<struct<hash:bigint,n:int>>")
+    seen = stream_arrow(documents.select(key, text), work, f"{key} {kind}, n_tokens long, known long, base double, model double, rare array<struct<word:binary,n:int>>")
     rows = stored(seen.withColumn("__id", F.monotonically_increasing_id()), "lm-rows")
-    rare = rows.select("__id", F.explode("rare").alias("r")).select("__id", "r.hash", "r.n").join(counts, "hash", "left")
+    rare = rows.select("__id", F.explode("rare").alias("r")).select("__id", "r.word", "r.n").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     sums = rare.groupBy("__id").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"),

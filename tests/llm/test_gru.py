@@ -3,11 +3,12 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from ranksmith.llm import gru
+from ranksmith.llm import gru, kernel
 
-from .helpers import empty, odd, words
+from .helpers import empty, odd, thue_morse, words
 
 
 def plain_base(rows):
@@ -61,11 +62,68 @@ def test_the_network_learns_from_every_training_document(spark, small, monkeypat
     assert weights == [net.lexicon.tokens] and net.lexicon.tokens > 0
 
 
+def tokens(texts):
+    return gru.Tokens.of(list(kernel.slices(pa.array(texts, pa.large_string()))))
+
+
+def plain_score(text, net, c):
+    """One token after the other, in double precision: gates, class, word in its class; counts of rare words from c."""
+    lex, w, H = net.lexicon, {k: v.astype(np.float64) for k, v in net.w.items()}, gru.HIDDEN
+    number = {lex.data[a:b].tobytes(): i for i, (a, b) in enumerate(zip(lex.offsets[:-1], lex.offsets[1:], strict=True))}
+    sigmoid, softmax = lambda x: 1 / (1 + np.exp(-x)), lambda x: np.exp(x) / np.exp(x).sum()
+    h, total = np.zeros(H), 0.0
+    for word in [t.encode() for t in words(text)] + [b""]:
+        i, classes = number.get(word), softmax(h @ w["Wc"] + w["bc"])
+        if i is None:
+            p, x = classes[gru.RARE] * (c[word] + 0.1) / lex.rare_mass, w["X"][gru.WORDS + gru.BANDS]
+        elif i < gru.WORDS:
+            k, place = divmod(i, gru.PER_CLASS)
+            p, x = classes[k] * softmax(h @ w["Wo"][k] + w["bo"][k])[place], w["X"][i]
+        else:
+            octave = min(int(math.log2(lex.counts[i])), gru.BANDS - 1)
+            alike = [n for j, n in enumerate(lex.counts.tolist()) if j >= gru.WORDS and min(int(math.log2(n)), gru.BANDS - 1) == octave]
+            p, x = classes[gru.CLASSES + octave] * (lex.counts[i] + 0.1) / (sum(alike) + 0.1 * len(alike)), w["X"][gru.WORDS + octave]
+        total += math.log10(p)
+        u = h @ w["U"]
+        r, z = sigmoid(x[:H] + u[:H]), sigmoid(x[H : 2 * H] + u[H : 2 * H])
+        h = z * h + (1 - z) * np.tanh(x[2 * H :] + r * u[2 * H :])
+    return total
+
+
+def test_scores_against_one_token_at_a_time(spark, small, monkeypatch):
+    monkeypatch.setattr(gru, "MOST_HEAD", 3000)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    net, counts = gru.fit(docs)
+    assert gru.WORDS < len(net.lexicon.counts) < net.lexicon.types
+    got = {r["doc_id"]: r["score"] for r in gru.score(docs, net, counts).collect()}
+    c = collections.Counter({bytes(r["word"]): r["c"] for r in counts.collect()})
+    for r in docs.collect():
+        if len(r["text"] or "") < 3000:
+            assert got[r["doc_id"]] == pytest.approx(plain_score(r["text"], net, c), rel=1e-4)
+
+
+def test_words_of_one_hash_stay_apart(spark, monkeypatch):
+    """With a hash that gives all words of a length the same value, and with words whose polynomial hashes are equal, counts
+    and scores are those of the words' bytes."""
+    a, b = thue_morse(10)
+    rows = [(i, f"{a} {b} {a} short words here and there {'x' * 70} {'y' * 70}"[: 90 + 200 * i], "en", "s", 1) for i in range(12)] + [(12, b, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    compare([tuple(r) for r in gru.op6_lm_scoring(docs).collect()], plain_base([(r[0], r[1]) for r in rows]))
+    monkeypatch.setattr(kernel, "span_hash", lambda data, start, end: (end - start).astype(np.uint64))
+    t = tokens([r[1] for r in rows])
+    spelled = [[t.data[t.start[i] : t.end[i]].tobytes().decode() for i in ids] for ids in np.split(t.ids, np.cumsum(t.counts)[:-1])]
+    assert spelled == [words(r[1]) + [""] for r in rows] and len({t.data[x:y].tobytes() for x, y in zip(t.start, t.end, strict=True)}) == len(t.start)
+    lex = gru.Lexicon.of({w.encode(): 5 - i % 3 for i, w in enumerate(sorted({x for r in spelled for x in r})) if i % 2 == 0}, 99, 20)
+    at = gru.Head(lex).find(t)
+    for i, (x, y) in enumerate(zip(t.start, t.end, strict=True)):
+        mine = [j for j in range(len(lex.counts)) if lex.data[lex.offsets[j] : lex.offsets[j + 1]].tobytes() == t.data[x:y].tobytes()]
+        assert at[i] == (mine[0] if mine else -1)
+
+
 def lexicon(v=40):
     rng = np.random.default_rng(0)
-    h = np.sort(rng.integers(0, 1 << 63, v, dtype=np.uint64))
-    c = rng.integers(1, 100, v)
-    return gru.Lexicon(h, c, int(c.sum()) + 30, v + 12)
+    c = {b"": 50} | {f"w{i}".encode(): int(n) for i, n in enumerate(rng.integers(1, 100, v - 1))}
+    return gru.Lexicon.of(c, sum(c.values()) + 30, v + 12)
 
 
 def test_it_is_a_distribution():
@@ -75,7 +133,7 @@ def test_it_is_a_distribution():
     rng = np.random.default_rng(1)
     net.w["Wc"] = rng.standard_normal(net.w["Wc"].shape).astype(np.float32)
     net.w["Wo"] = rng.standard_normal(net.w["Wo"].shape).astype(np.float32)
-    h = np.repeat(rng.standard_normal((1, gru.HIDDEN)).astype(np.float32), len(lex.hashes) + 1, axis=0)
+    h = np.repeat(rng.standard_normal((1, gru.HIDDEN)).astype(np.float32), len(lex.counts) + 1, axis=0)
     cls = np.append(lex.cls, gru.RARE)
     got, _ = net.output(h, cls, np.append(lex.place, 0))
     inner = np.append(np.where(lex.listed, 0.0, lex.within * math.log(10)), 0.0)
@@ -87,9 +145,8 @@ def test_gradients_are_those_of_the_loss():
     """One window of one lane: the Adagrad accumulators hold the squared gradients, checked by differences."""
     lex = lexicon()
     rng = np.random.default_rng(2)
-    head = gru.Head(lex.hashes)
-    hashes = np.append(rng.choice(lex.hashes, 11), np.uint64(7))
-    block = gru.Block.of(hashes, np.array([12]), lex, head)
+    block = gru.Block.of(tokens([" ".join([*(f"w{i}" for i in rng.integers(0, 39, 10)), "unheard"])]), lex, gru.Head(lex))
+    assert len(block.head) == 12 and (block.head < 0).sum() == 1
     net = gru.Network(lex)
     for k in net.w:
         net.w[k] = (net.w[k].astype(np.float64) + 0.3 * rng.standard_normal(net.w[k].shape)).astype(np.float32)
@@ -119,20 +176,31 @@ def test_gradients_are_those_of_the_loss():
 
 def test_lanes_and_windows_do_not_change_a_score():
     lex, rng = lexicon(), np.random.default_rng(4)
-    head, net = gru.Head(lex.hashes), gru.Network(lex)
+    head, net = gru.Head(lex), gru.Network(lex)
     net.w["Wc"] = rng.standard_normal(net.w["Wc"].shape).astype(np.float32)
     counts = np.array([3, 200, 1, 70, 5])
-    hashes = rng.choice(lex.hashes, counts.sum())
-    together = gru.score_block(net, gru.Block.of(hashes, counts, lex, head))
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 45, n - 1)) for n in counts]
+    together = gru.score_block(net, gru.Block.of(tokens(texts), lex, head))
     at = 0
-    for n in counts:
-        alone = gru.score_block(net, gru.Block.of(hashes[at : at + n], np.array([n]), lex, head))
-        assert np.allclose(alone, together[at : at + n], atol=1e-4)
+    for n, text in zip(counts, texts, strict=True):
+        alone = gru.score_block(net, gru.Block.of(tokens([text]), lex, head))
+        assert len(alone) == n and np.allclose(alone, together[at : at + n], atol=1e-4)
         at += n
 
 
+def test_training_lanes_take_every_token_once():
+    for counts in ([1], [5, 3], [1000, 1, 1, 700], [40] * 900):
+        counts = np.array(counts)
+        lanes = gru.Lanes.even(counts, gru.TRAIN_LANES)
+        seen = np.concatenate([t for steps in lanes.windows(gru.WINDOW) for t in steps])
+        assert sorted(seen.tolist()) == list(range(counts.sum())) and np.ptp(lanes.length) <= 1
+        assert np.flatnonzero(lanes.first).tolist() == (np.cumsum(counts) - counts).tolist()
+
+
 def test_head_lookup():
-    h = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64))
-    head = gru.Head(h)
-    assert (head.find(h) == np.arange(5000)).all() and (head.find(h + np.uint64(1))[~np.isin(h + np.uint64(1), h)] == -1).all()
-    assert gru.Head(np.empty(0, np.uint64)).find(h[:3]).tolist() == [-1] * 3
+    lex = gru.Lexicon.of({f"word{i}".encode(): 3 for i in range(5000)}, 15000, 5000)
+    found = gru.Head(lex).find(tokens([" ".join(f"word{i}" for i in range(0, 10000, 7))]))
+    t = tokens([" ".join(f"word{i}" for i in range(0, 10000, 7))])
+    spelled = [t.data[a:b].tobytes() for a, b in zip(t.start, t.end, strict=True)]
+    assert [lex.data[lex.offsets[i] : lex.offsets[i + 1]].tobytes() if i >= 0 else None for i in found] == [w if w and int(w[4:]) < 5000 else None for w in spelled]
+    assert gru.Head(gru.Lexicon.of({}, 0, 0)).find(t).tolist() == [-1] * len(spelled)
