@@ -1,11 +1,13 @@
 """Exact dense retrieval: broadcast query blocks against corpus batches, a top-k per task, one merge.
 
-The query block is the small side by definition (a topic set); its size is checked, and larger sets run block by block.
-Each task keeps k rows per query, so the shuffle is k per query and task, whatever the corpus holds."""
+The queries are the small side (a topic set); their values are counted first, and beyond BLOCK_VALUES they are collected,
+broadcast and searched block by block, so no more than a block is ever on the driver or in a task.  Each task keeps k rows
+per query, so the shuffle is k per query and task, whatever the corpus holds."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.workers import ship
 from ..schema import DEPTH
 from .ranking import truncate
+from .settings import Best
 
 BLOCK_VALUES = 8 << 20  # most query values in one broadcast (64 MiB)
 
@@ -28,53 +31,37 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = DEPTH, query: str = "to
     """(topic_id, visual_id, score, rank) by inner product (cosine with normalise); null vectors take no part."""
     spark = corpus.sparkSession
     ship(spark)
-    table = queries.select(F.col(query).cast("string").alias("q"), vector).where(F.col(vector).isNotNull()).toArrow()
-    if not table.num_rows:
-        return corpus.select(F.lit("").alias("topic_id"), F.col(doc).cast("string").alias("visual_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    names, block = np.array(table["q"].to_pylist(), object), _matrix(table[vector])
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    if normalise:
-        block = unit(block)
-    step = max(1, BLOCK_VALUES // max(1, block.shape[1]))
+    asked = queries.select(F.col(query).cast("string").alias("q"), vector).where(F.col(vector).isNotNull())
+    values = asked.agg(F.sum(F.size(vector))).first()[0] or 0
+    blocks = -(-values // BLOCK_VALUES)
     slim = corpus.select(F.col(doc).cast("string").alias("visual_id"), vector).where(F.col(vector).isNotNull())
+    if not blocks:
+        return truncate(slim.select(F.lit("").alias("topic_id"), "visual_id", F.lit(0.0).alias("score")).limit(0), k)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
-    def part(lo: int) -> DataFrame:
-        shared = spark.sparkContext.broadcast((names[lo : lo + step], block[lo : lo + step]))
+    def part(i: int) -> DataFrame:
+        table = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)).toArrow()
+        m = _matrix(table[vector]) if table.num_rows else np.empty((0, 0))
+        shared = spark.sparkContext.broadcast((table["q"].to_pylist(), unit(m) if normalise and len(m) else m))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             who, qs = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] | None = None
+            best = Best(who, k)
             for batch in batches:
-                if not batch.num_rows:
+                if not batch.num_rows or not who:
                     continue
                 ids = np.array(batch.column(0).to_pylist(), object)
                 m = _matrix(batch.column(1))
                 s = qs @ (unit(m) if normalise else m).T
                 if digits is not None:
                     s = np.round(s, digits)
-                merged = []
-                for i in range(len(who)):
-                    v, d = s[i], ids
-                    if best is not None:
-                        v, d = np.concatenate([best[i][0], v]), np.concatenate([best[i][1], d])
-                    if len(v) > k:
-                        edge = np.partition(v, len(v) - k)[len(v) - k]
-                        keep = v >= edge  # ties at the edge stay: the final order decides by id
-                        v, d = v[keep], d[keep]
-                        if len(v) > 4 * k:
-                            order = sorted(range(len(v)), key=lambda j: (v[j], d[j]), reverse=True)[:k]
-                            v, d = v[order], d[order]
-                    merged.append((v, d))
-                best = merged
-            for i, (v, d) in enumerate(best or []):
-                yield pa.RecordBatch.from_arrays([pa.array([who[i]] * len(v)), pa.array(list(d), pa.string()), pa.array(v)], ["topic_id", "visual_id", "score"])
+                for j in range(len(who)):
+                    best.add(j, s[j], ids)
+            yield from best.batches()
 
         return slim.mapInArrow(work, "topic_id string, visual_id string, score double")
 
-    found = part(0)
-    for lo in range(step, len(names), step):
-        found = found.unionByName(part(lo))
-    return truncate(found, k)
+    return truncate(reduce(DataFrame.unionByName, map(part, range(blocks))), k)
 
 
 def dot(a: str, b: str):

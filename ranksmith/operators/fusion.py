@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DEPTH, RRF_K
-from .evaluation import per_topic
 from .ranking import minmax, ranked, truncate
+from .settings import evaluate
 
 GRID = tuple(round(0.05 * i, 2) for i in range(21))
 
@@ -33,19 +34,14 @@ def linear(runs: Sequence[DataFrame], weights: Sequence[float] | None = None, de
 
 
 def grid(run_a: DataFrame, run_b: DataFrame, qrels: DataFrame, weights: Sequence[float] = GRID, depth: int = DEPTH, digits: int = 6) -> DataFrame:
-    """(w, topic_id, ndcg, ap, p10) for every weight w of run_b, 1 - w of run_a, in one plan.
+    """(w, topic_id, ndcg, ap, p10) for every weight w of run_b, 1 - w of run_a.
 
-    The weight is part of the topic key, so the grid is a factor of rows and not of jobs."""
+    Both scores of a document meet once; each topic's group is then ordered under every weight."""
     a = minmax(run_a).select("topic_id", "visual_id", F.col("norm").alias("a"), F.lit(0.0).alias("b"))
     b = minmax(run_b).select("topic_id", "visual_id", F.lit(0.0).alias("a"), F.col("norm").alias("b"))
     both = a.unionByName(b).groupBy("topic_id", "visual_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    spread = F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("w")
-    rows = both.select("topic_id", "visual_id", "a", "b", spread).withColumn("score", F.round((1 - F.col("w")) * F.col("a") + F.col("w") * F.col("b"), digits))
-    keyed = rows.withColumn("topic", F.col("topic_id")).withColumn("topic_id", F.concat_ws("\x1f", F.col("w").cast("string"), "topic"))
-    judged = qrels.select("topic_id", "visual_id", "grade", spread).withColumn("topic_id", F.concat_ws("\x1f", F.col("w").cast("string"), "topic_id")).drop("w")
-    got = per_topic(keyed.select("topic_id", "visual_id", "score"), judged, depth=depth)
-    cut = F.split("topic_id", "\x1f")
-    return got.withColumn("w", F.get(cut, F.lit(0)).cast("double")).withColumn("topic_id", F.get(cut, F.lit(1)))
+    mixed = lambda t, s: t.by_score(np.round((1 - s[0]) * t.columns["a"] + s[0] * t.columns["b"], digits))
+    return evaluate(both, qrels, [(float(w),) for w in weights], "w double", mixed, depth)
 
 
 def best_weight(scored: DataFrame, by: Sequence[str] = (), measure: str = "ndcg", digits: int = 9) -> DataFrame:

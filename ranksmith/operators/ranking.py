@@ -31,14 +31,25 @@ def minmax(run: DataFrame, topic: str = "topic_id", score: str = "score", out: s
     return run.join(ends, topic).withColumn(out, F.when(F.col("__hi") > F.col("__lo"), scaled).otherwise(1.0)).drop("__lo", "__hi")
 
 
+def seeded(seed: int, *parts: Column | str) -> Column:
+    """A seeded hash of the parts as hexadecimal text: md5 of the seed and the parts joined by '|', the same in any engine."""
+    cols = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *cols).cast("binary"))
+
+
+def below(n: Column, draw: Column) -> Column:
+    """A draw below n from a seeded hash: its first 12 hexadecimal digits modulo n."""
+    return F.pmod(F.conv(F.substring(draw, 1, 12), 16, 10).cast("long"), n)
+
+
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows without replacement in a seeded hash order: the same rows however the table is partitioned."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(seeded(seed, key), key).limit(n)
 
 
 def every_nth(df: DataFrame, n: int, key: str) -> DataFrame:
     """A systematic sample of about 1 in n rows by the key's hash."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(n)) == 0)
+    return df.where(below(F.lit(n), seeded(0, key)) == 0)
 
 
 def topic_folds(topics: list[str], k: int, seed: int = 0) -> dict[str, int]:

@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import seeded
+from .settings import Topic, evaluate
+
 MOST_PAIRS = 5000
 
 
@@ -47,12 +51,17 @@ def feature_stats(features: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def pairs(features: DataFrame, names: Sequence[str], most: int = MOST_PAIRS, seed: int = 0) -> DataFrame:
     """Differences better - worse of judged documents of one topic with different grades, at most ``most`` per topic in
-    a seeded hash order (a documented cap of the training sample: topics with many judgments must not dominate)."""
-    side = lambda p: features.where("grade >= 0").select("topic_id", F.col("visual_id").alias(f"{p}_id"), F.col("grade").alias(f"{p}_grade"), *[F.col(n).alias(f"{p}_{n}") for n in names])
+    a seeded hash order (a documented cap of the training sample: topics with many judgments must not dominate).
+
+    Pairs are formed and cut on ids and grades, and the features of those that stay are joined to them."""
+    judged = features.where("grade >= 0")
+    side = lambda p: judged.select("topic_id", F.col("visual_id").alias(f"{p}_id"), F.col("grade").alias(f"{p}_grade"))
     both = side("hi").join(side("lo"), "topic_id").where("hi_grade > lo_grade")
-    order = Window.partitionBy("topic_id").orderBy(F.xxhash64("hi_id", "lo_id", F.lit(seed)), "hi_id", "lo_id")
-    kept = both.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
-    return kept.select("topic_id", "hi_id", "lo_id", *[(F.col(f"hi_{n}") - F.col(f"lo_{n}")).alias(n) for n in names])
+    order = Window.partitionBy("topic_id").orderBy(seeded(seed, "hi_id", "lo_id"), "hi_id", "lo_id")
+    kept = both.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).select("topic_id", "hi_id", "lo_id")
+    values = lambda p: judged.select("topic_id", F.col("visual_id").alias(f"{p}_id"), *[F.col(n).alias(f"{p}_{n}") for n in names])
+    full = kept.join(values("hi"), ["topic_id", "hi_id"]).join(values("lo"), ["topic_id", "lo_id"])
+    return full.select("topic_id", "hi_id", "lo_id", *[(F.col(f"hi_{n}") - F.col(f"lo_{n}")).alias(n) for n in names])
 
 
 def fit(features: DataFrame, names: Sequence[str], c: float = 1.0, seed: int = 0) -> Reranker:
@@ -93,19 +102,33 @@ def rerank(run: DataFrame, scored: DataFrame, depth: int, alpha: float, by: tupl
 
 
 def grid(run: DataFrame, scored: dict[float, DataFrame], qrels: DataFrame, depths: Sequence[int], alphas: Sequence[float], eval_depth: int = 1000) -> DataFrame:
-    """(c, depth, alpha, n, topic_id, ndcg, ap, p10) for every setting, in one plan; n is the place in grid order."""
-    from .evaluation import per_topic
-
-    spark = run.sparkSession
-    settings = spark.createDataFrame([(float(c), int(d), float(a), i) for i, (c, d, a) in enumerate((c, d, a) for c in scored for d in depths for a in alphas)], "c double, depth int, alpha double, n int")
-    models = reduce(DataFrame.unionByName, [s.select("topic_id", "visual_id", "model").withColumn("c", F.lit(float(c))) for c, s in scored.items()])
-    by = ("c", "depth", "alpha", "n")
-    rows = rerank(run.join(F.broadcast(settings)), models.join(F.broadcast(settings), "c"), 0, 0.0, by)
-    tag = F.concat_ws("\x1f", F.col("n").cast("string"), "topic_id")
-    judged = qrels.join(F.broadcast(settings.select("n"))).withColumn("topic_id", tag).select("topic_id", "visual_id", "grade")
-    got = per_topic(rows.withColumn("topic_id", tag).select("topic_id", "visual_id", "score"), judged, eval_depth)
-    cut = F.split("topic_id", "\x1f")
-    return got.withColumn("n", F.get(cut, F.lit(0)).cast("int")).withColumn("topic_id", F.get(cut, F.lit(1))).join(F.broadcast(settings), "n")
+    """(c, depth, alpha, n, topic_id, ndcg, ap, p10) for every setting; n is the place in grid order.
+
+    A depth is held to the most documents with a reranker score that any topic has: deeper ones would be the same setting
+    under another name.  Scores of all models meet the run once; each topic's group is then ordered under every setting."""
+    models = reduce(DataFrame.unionByName, [s.select("topic_id", "visual_id", F.lit(i).alias("i"), "model") for i, s in enumerate(scored.values())])
+    wide = models.groupBy("topic_id", "visual_id").agg(*[F.max(F.when(F.col("i") == i, F.col("model"))).alias(f"m{i}") for i in range(len(scored))])
+    covered = models.groupBy("i", "topic_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    reached = list(dict.fromkeys(min(int(d), covered) for d in depths))
+    settings = [(float(c), d, float(a), n) for n, (c, d, a) in enumerate((c, d, a) for c in scored for d in reached for a in alphas)]
+    at = {float(c): f"m{i}" for i, c in enumerate(scored)}
+
+    def order(t: Topic, s: tuple) -> np.ndarray:
+        c, depth, alpha, _ = s
+        first = t.by_score(t.columns["score"])
+        model = t.columns[at[c]].astype(float)
+        head = np.isfinite(model[first]) & (np.arange(len(first)) < depth)
+        top = first[head]
+        mixed = alpha * _unit(model[top]) + (1 - alpha) * _unit(t.columns["score"][top].astype(float))
+        return np.concatenate([top[np.argsort(-mixed, kind="stable")], first[~head]])
+
+    rows = run.select("topic_id", "visual_id", "score").join(wide, ["topic_id", "visual_id"], "left")
+    return evaluate(rows, qrels, settings, "c double, depth int, alpha double, n int", order, eval_depth)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Scaled to 0..1; a constant is 1."""
+    return (x - x.min()) / (x.max() - x.min()) if len(x) and x.max() > x.min() else np.ones(len(x))
 
 
 def select_setting(results: DataFrame, by: Sequence[str] = (), digits: int = 9) -> DataFrame:

@@ -47,15 +47,13 @@ sc AS (SELECT topic_id, visual_id, round(sum(qtf * weight), 6) AS score FROM qt
 @query("BM1 BM2 BM3 RK1 RK2 RK3 JN8 AGG4", _with("corpus", "topics") + _BM25 + """
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, visual_id DESC) AS INTEGER) AS rank FROM sc WHERE score <> 0) WHERE rank <= 100""")
 def bm25_topk(spark, d):
-    t = S.topics(spark, d)
-    return bm25.search(bm25.build(S.corpus(spark, d), terms=bm25.query_terms(t)), t, 100, digits=6).select("topic_id", "visual_id", "score", "rank")
+    return bm25.search_corpus(S.corpus(spark, d), S.topics(spark, d), 100, digits=6).select("topic_id", "visual_id", "score", "rank")
 
 
 @query("BM2 TOK4 RK3", _with("corpus2", "topics2") + _BM25 + """
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, visual_id DESC) AS INTEGER) AS rank FROM sc WHERE score <> 0) WHERE rank <= 20""")
 def bm25_bigram_topk(spark, d):
-    t = S.topics(spark, d, True)
-    return bm25.search(bm25.build(S.corpus(spark, d, True), terms=bm25.query_terms(t)), t, 20, digits=6).select("topic_id", "visual_id", "score", "rank")
+    return bm25.search_corpus(S.corpus(spark, d, True), S.topics(spark, d, True), 20, digits=6).select("topic_id", "visual_id", "score", "rank")
 
 
 @query("BM4", _with("corpus", "topics") + _BM25 + """,
