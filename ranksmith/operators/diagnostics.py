@@ -20,7 +20,15 @@ def id_space_scan(index: DataFrame, column: str, has_xml: str = "has_xml", examp
     first = rows.where(C.strip("latex") != "").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= examples)
     texts = first.groupBy("value").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "latex"))), lambda x: x["latex"]).alias("latex"))
     stats = rows.groupBy("value").agg(F.count("*").alias("instances"), F.count_distinct("type").alias("types"), F.bool_or(has_xml).alias("has_xml"))
-    return stats.join(texts, "value", "left")
+    each = rows.groupBy("value", "type").agg(F.count("*").alias("n"))
+    by_type = each.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("type", "n"))).alias("by_type"))
+    return stats.join(by_type, "value").join(texts, "value", "left")
+
+
+def id_space_summary(index: DataFrame, new: str = "visual_id", old: str = "old_visual_id") -> DataFrame:
+    """One row for the whole index: the range of the ids that are numbers, and how many old ids equal the new or are missing."""
+    n, o, v = C.clean_id(new).try_cast("long"), C.clean_id(old), C.clean_id(new)
+    return index.agg(F.min(n).alias("least"), F.max(n).alias("greatest"), F.count("*").alias("rows"), F.count_if(o == v).alias("old_equal"), F.count_if(o.isNull()).alias("old_missing"))
 
 
 def grade_similarity(hits: DataFrame, by: tuple[str, ...] = ("column",)) -> DataFrame:

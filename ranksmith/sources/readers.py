@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def sample(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema=SAMPLE)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, value) with true line numbers from 1; for judgment and run files, each of which fits a task."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
     rows = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value"))
@@ -58,17 +60,26 @@ def _last_wins(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(value, F.struct("file", "line")).alias(value))
 
 
-def formula_qrels(spark: SparkSession, path: str) -> DataFrame:
+def formula_qrels(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
     """(topic_id, formula_id, grade) of every valid line, repeated ones kept: fewer than four fields or a grade that is
-    no number is skipped (headers), grades are cut towards zero."""
+    no number is skipped (headers; strict: such a grade is an error), grades are cut towards zero."""
     f = _fields(numbered_lines(spark, path)).where(F.size("f") >= 4)
+    if strict:
+        good = F.assert_true(F.get("f", F.lit(3)).try_cast("double").isNotNull(), F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": the grade is no number")))
+        f = f.withColumn("__ok", good).where(F.col("__ok").isNull())
     rows = f.select("file", "line", F.get("f", F.lit(0)).alias("topic_id"), F.get("f", F.lit(2)).alias("formula_id"), F.get("f", F.lit(3)).try_cast("double").cast("int").alias("grade"))
     return rows.where("grade is not null")
 
 
-def qrels(spark: SparkSession, path: str) -> DataFrame:
+def qrels(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
     """(topic_id, visual_id, grade); of repeated pairs the last line counts."""
-    return _last_wins(formula_qrels(spark, path).withColumnRenamed("formula_id", "visual_id"), ["topic_id", "visual_id"], "grade")
+    return _last_wins(formula_qrels(spark, path, strict).withColumnRenamed("formula_id", "visual_id"), ["topic_id", "visual_id"], "grade")
+
+
+def split_qrels(spark: SparkSession, root: str, spec: str, kind: str = "official") -> DataFrame:
+    """The judgments of several splits, 'train+dev', as training reads them: a grade that is no number is an error.  Topics
+    of different years have different ids."""
+    return reduce(DataFrame.unionByName, [qrels(spark, qrels_path(root, y, kind), strict=True) for y in resolve_split(spec)])
 
 
 def run(spark: SparkSession, path: str) -> DataFrame:
@@ -95,6 +106,33 @@ def topics(spark: SparkSession, path: str, year: int) -> DataFrame:
     return rows.where("_number is not null and Formula_Id is not null").select(strip("_number").alias("topic_id"), F.lit(year).alias("year"), strip("Formula_Id").alias("formula_id"), F.coalesce(strip("Latex"), F.lit("")).alias("latex"))
 
 
+def only_file(spark: SparkSession, folder: str, pattern: str) -> str:
+    """The one file of the folder that the pattern names, on any file system; none or several are an error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = [str(f.getPath()) for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or ()]
+    if len(found) != 1:
+        raise ValueError(f"one file {pattern} expected in {folder}, found {len(found)}")
+    return found[0]
+
+
+def split_topics(spark: SparkSession, root: str, spec: str) -> DataFrame:
+    """The topics of several splits, 'train+dev', with their markup."""
+
+    def of(year: int) -> DataFrame:
+        folder = topics_dir(root, year)
+        markup = [topic_formulas(spark, only_file(spark, folder, f"*[{n[0]}{n[0].upper()}][{n[1]}{n[1].upper()}][{n[2]}{n[2].upper()}]*.tsv"), n) for n in ("slt", "opt")]
+        return with_markup(topics(spark, only_file(spark, folder, "Topics*.xml"), year), *markup)
+
+    return reduce(DataFrame.unionByName, map(of, resolve_split(spec)))
+
+
+def query_latex(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(topic_id, latex) over all topic files, for diagnosis: topics without LaTeX are left out, of repeated ones the file
+    that comes last counts."""
+    rows = reduce(DataFrame.unionByName, [topics(spark, p, i) for i, p in enumerate(paths)]).where("latex <> ''")
+    return rows.groupBy("topic_id").agg(F.max_by("latex", "year").alias("latex"))
+
+
 def topic_formulas(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(formula_id, <name>) from a topic formula table: the markup is the fifth column whatever its header says; shorter
     rows are skipped, of repeated ids the last counts."""

@@ -46,10 +46,38 @@ def load_vocabularies(path: str) -> dict[str, dict]:
         return json.load(f)
 
 
-def cached(spark: SparkSession, path: str, fingerprint: str, make) -> DataFrame:
-    """The table below path for this model fingerprint, made and written where it is missing."""
+def cached(spark: SparkSession, path: str, fingerprint: str, make, marker: dict | None = None) -> DataFrame:
+    """The table below path for this model fingerprint, made and written where it is missing.
+
+    marker: what the table must have been made from (step, size, dim, ...).  It is written beside the table, after it, and a
+    table whose marker is another or missing is made anew."""
     where = f"{path}/model={fingerprint}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    done, note = hadoop.Path(f"{where}/_SUCCESS"), hadoop.Path(f"{path}/marker-{fingerprint}.json")
+    system = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    text = json.dumps(marker, sort_keys=True)
+    known = system.exists(done) and (marker is None or system.exists(note) and spark.read.text(str(note), wholetext=True).first()[0] == text)
+    if not known:
         make().write.mode("overwrite").parquet(where)
+        if marker is not None:
+            out = system.create(note, True)
+            out.write(bytearray(text.encode()))
+            out.close()
     return spark.read.parquet(where)
+
+
+def graph_store(graphs: DataFrame, path: str, slt: str = "slt", opt: str = "opt", force: bool = False) -> DataFrame:
+    """Write encoded graphs, and return their totals: (rep, graphs, nodes, edges, truncated)."""
+    table(graphs, path, force)
+    rows = graphs.sparkSession.read.parquet(path)
+    part = lambda rep, c: rows.select(F.lit(rep).alias("rep"), F.size(f"{c}.tag").alias("n"), F.size(f"{c}.edges").alias("e"), F.col(f"{c}.truncated").alias("t")).where("n > 0")
+    both = part("slt", slt).unionByName(part("opt", opt))
+    return both.groupBy("rep").agg(F.count("*").alias("graphs"), F.sum("n").alias("nodes"), F.sum("e").alias("edges"), F.count_if("t").alias("truncated"))
+
+
+def text_report(df: DataFrame, title: str, samples: int = 20, width: int = 90) -> str:
+    """The first rows as an aligned table, long values cut to ``width``."""
+    cut = lambda v: v if len(v) <= width else v[: width - 1] + "…"
+    shown = [df.columns, *([cut(f"{v:.4f}" if isinstance(v, float) else "" if v is None else str(v)) for v in r] for r in df.limit(samples).collect())]
+    wide = [max(len(r[i]) for r in shown) for i in range(len(df.columns))]
+    return "\n".join([title, *("  ".join(v.ljust(w) for v, w in zip(r, wide, strict=True)).rstrip() for r in shown)])
