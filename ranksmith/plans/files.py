@@ -11,16 +11,6 @@ from . import standins as S
 from .queries import _order_graphs, _with, query
 
 
-def _lines(df, *columns):
-    """The columns, each a string, as text lines."""
-    path = scratch(df.sparkSession, "lines")
-    df.select(F.concat(*columns).alias("value")).write.text(path)
-    return path
-
-
-_T = F.lit("\t")
-
-
 @query("SRC1", r"""SELECT o_orderkey AS id, o_custkey AS post_id, CASE WHEN o_orderkey % 3 = 0 THEN 'd' END AS issue, o_orderstatus || chr(10) || '"' || o_orderpriority || '" a' || chr(9) || 'b' AS formula FROM orders""")
 def read_raw_table(spark, d):
     """Formulas with line breaks, tabs and doubled quotes inside quoted fields."""
@@ -85,25 +75,24 @@ def read_topic_formulas(spark, d):
     s, path = S.table(spark, d, "supplier"), scratch(spark, "formulas")
     row = lambda markup: F.concat(F.lit("f"), F.col("s_suppkey").cast("string"), F.lit("\tt\t1\ttitle"), markup)
     short = F.col("s_suppkey") % 7 == 0
-    lines = F.array(row(F.when(short, "").otherwise(F.concat(_T, F.lit("first "), "s_name"))), F.when((F.col("s_suppkey") % 3 == 0) & ~short, row(F.lit("\tsecond"))))
+    lines = F.array(row(F.when(short, "").otherwise(F.concat(F.lit("\tfirst "), "s_name"))), F.when((F.col("s_suppkey") % 3 == 0) & ~short, row(F.lit("\tsecond"))))
     s.select(F.explode(F.array_compact(lines)).alias("value")).coalesce(1).write.text(path)
     return readers.topic_formulas(spark, path, "slt")
 
 
-_QREL_LINES = F.explode(F.array(
-    F.concat_ws(" ", "topic_id", F.lit("0"), "visual_id", F.lit("9")),  # repeated below: the last line counts
-    F.concat_ws("\t", "topic_id", F.lit(" 0"), "visual_id", F.concat(F.col("grade").cast("string"), F.lit(".9"))),
-    F.concat_ws(" ", "topic_id", F.lit("0"), "visual_id"),
-    F.concat_ws(" ", "topic_id", F.lit("0"), "visual_id", F.lit("grade")),
-    F.lit(""),
-)).alias("value")
+def _qrel_lines():
+    """Of each judgment: a line that a later one overrules, the judgment with a fraction, a short line, a word for a grade, and
+    an empty line."""
+    line = lambda sep, *rest: F.concat_ws(sep, "topic_id", F.lit("0"), "visual_id", *rest)
+    grade = F.concat(F.col("grade").cast("string"), F.lit(".9"))
+    return F.explode(F.array(line(" ", F.lit("9")), line(" \t", grade), line(" "), line(" ", F.lit("grade")), F.lit(""))).alias("value")
 
 
 @query("SRC7 SRC18", _with("qrels") + " SELECT topic_id, visual_id, grade FROM qrels")
 def read_qrels(spark, d):
     """Repeated pairs, short lines, grades that are no numbers or have a fraction, empty lines."""
     root = scratch(spark, "qrels")
-    S.synth_qrels(spark, d).coalesce(1).select(_QREL_LINES).write.text(readers.qrels_path(root, 2, "all"))
+    S.synth_qrels(spark, d).coalesce(1).select(_qrel_lines()).write.text(readers.qrels_path(root, 2, "all"))
     return readers.qrels(spark, readers.qrels_path(root, 2, "all"))
 
 
@@ -119,7 +108,7 @@ def read_split_qrels(spark, d):
 def read_formula_qrels(spark, d):
     """Repeated pairs stay."""
     path = scratch(spark, "formula-qrels")
-    S.formula_qrels(spark, d).withColumnRenamed("formula_id", "visual_id").select(_QREL_LINES).write.text(path)
+    S.formula_qrels(spark, d).withColumnRenamed("formula_id", "visual_id").select(_qrel_lines()).write.text(path)
     return readers.formula_qrels(spark, path).select("topic_id", "formula_id", "grade")
 
 
