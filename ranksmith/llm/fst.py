@@ -150,7 +150,7 @@ def _classes() -> np.ndarray:
 CHANGE_BITS = 16
 MOST_CHANGE = 1 << CHANGE_BITS - 1  # a token of more bytes could take back more tokens than a transition can say
 _CHANGE = (1 << CHANGE_BITS) - 1
-MOST_MEMO, MEMO_WORD = 1 << 18, 64  # entries of the table of totals, and the longest pre-token in it
+MEMO_BITS = 19  # of the number of entries in the table of totals, 28 bytes each
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -260,7 +260,9 @@ class Counter:
         self.bpe = Bpe(merges)
         self.classes = _classes()
         self.special = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
-        self.memo: dict[bytes, int] = {}
+        self.shift, size = np.uint64(64 - MEMO_BITS), 1 << MEMO_BITS
+        self.low, self.high = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.length, self.total = np.zeros(size, np.int64), np.zeros(size, np.int32)
 
     @classmethod
     def load(cls, path: str) -> Counter:
@@ -271,22 +273,25 @@ class Counter:
         return cls([(bytes(back[c] for c in a), bytes(back[c] for c in b)) for a, b in pairs], [t["content"] for t in spec["added_tokens"]])
 
     def _pretoken_counts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(self.bpe.states) > self.most_states:  # bounded memory: compile anew
-            self.bpe = Bpe(self.merges)
-        if len(self.memo) > MOST_MEMO:
-            self.memo.clear()
-        first, back = kernel.distinct(data, start, end)
-        raw, memo, count = data.tobytes(), self.memo, self.bpe.count
-        out = np.empty(len(first), np.int64)
-        for i, (s, e) in enumerate(zip(start[first].tolist(), end[first].tolist(), strict=True)):
-            word = raw[s:e]
-            got = memo.get(word)
-            if got is None:
-                got = count(word)
-                if e - s <= MEMO_WORD:
-                    memo[word] = got
-            out[i] = got
-        return out[back]
+        """Short pre-tokens are looked up by the two numbers that are their bytes; the rest, and those not met lately, are
+        told apart and run through the machine once each."""
+        length = end - start
+        low, high = parts = kernel.ends(data, start, end)
+        slot = (kernel.content_hash(data, start, end, parts) >> self.shift).astype(np.int64)
+        out = self.total[slot].astype(np.int64)
+        miss = np.flatnonzero((self.length[slot] != length) | (self.low[slot] != low) | (self.high[slot] != high) | (length > kernel.SHORT))
+        if len(miss):
+            if len(self.bpe.states) > self.most_states:  # bounded memory: compile anew
+                self.bpe = Bpe(self.merges)
+            first, back = kernel.distinct(data, start[miss], end[miss])
+            at = miss[first]
+            raw, count = data.tobytes(), self.bpe.count
+            got = np.array([count(raw[s:e]) for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)], np.int64)
+            out[miss] = got[back]
+            _, last = np.unique(slot[at][::-1], return_index=True)  # one pre-token a slot, all its numbers together
+            put = at[::-1][last]
+            self.low[slot[put]], self.high[slot[put]], self.length[slot[put]], self.total[slot[put]] = low[put], high[put], length[put], got[::-1][last]
+        return out
 
     def counts(self, piece: kernel.Slice) -> np.ndarray:
         """Tokens of each row of the slice."""

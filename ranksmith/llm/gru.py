@@ -72,10 +72,10 @@ class Tokens:
     @classmethod
     def of(cls, pieces: list[kernel.Slice]) -> Tokens:
         found = [kernel.words(p) for p in pieces]
-        low = np.concatenate([kernel.LOWER[p.data] for p in pieces])
+        low = np.concatenate([w.data for w in found])
         base = np.cumsum([0, *(len(p.data) for p in pieces[:-1])])
         start, end = (np.concatenate([getattr(w, side) + at for w, at in zip(found, base, strict=True)]) for side in ("start", "end"))
-        first, back = kernel.distinct(low, start, end, np.concatenate([w.hash for w in found]))
+        first, back = kernel.distinct(low, start, end)
         counts = np.concatenate([w.counts for w in found])
         ids = np.insert(back, np.cumsum(counts), len(first))
         return cls(low, np.append(start[first], 0), np.append(end[first], 0), ids, counts + 1)
@@ -129,7 +129,7 @@ class Head:
         self.data, self.offsets = lexicon.data, lexicon.offsets
         full = np.flatnonzero(np.diff(self.offsets))
         self.end_token = int(np.flatnonzero(np.diff(self.offsets) == 0)[0]) if len(full) < len(self.offsets) - 1 else -1
-        h = kernel.span_hash(self.data, self.offsets[full], self.offsets[full + 1])
+        h = kernel.content_hash(self.data, self.offsets[full], self.offsets[full + 1])
         order = np.argsort(h, kind="stable")
         self.hashes, self.word = h[order], full[order]
         again = np.flatnonzero(self.hashes[1:] == self.hashes[:-1]) + 1  # words with the hash of the one before
@@ -142,7 +142,7 @@ class Head:
         if not len(self.hashes) or len(out) == 1:
             return out
         start, end = tokens.start[:-1], tokens.end[:-1]
-        h = kernel.span_hash(tokens.data, start, end)
+        h = kernel.content_hash(tokens.data, start, end)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         word = self.word[at]
         maybe = np.flatnonzero(self.hashes[at] == h)

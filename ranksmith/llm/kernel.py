@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -108,14 +109,19 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
 
 @dataclass
 class Words:
-    """Words of a slice in text order: first byte, end byte, row within the slice, 64-bit hash of the bytes."""
+    """Words of a slice in text order: first byte, end byte, row within the slice; their bytes are those of ``data``."""
 
+    data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     row: np.ndarray
-    hash: np.ndarray
     counts: np.ndarray  # words per row
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        """The 64-bit hash of each word's bytes."""
+        return span_hash(self.data, self.start, self.end)
+
 
 def runs(inside: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """First and end positions of the maximal runs of true bytes; runs end at row ends and, where given, before cuts."""
@@ -177,18 +183,44 @@ def equal(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray
     return out
 
 
-def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)] + [_MASK], np.uint64)
+SHORT = 16
+
+
+def ends(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the next eight bytes of each span as numbers, zero beyond its end: with its length, the whole content of
+    a span of at most SHORT bytes."""
+    padded = np.concatenate([data, np.zeros(SHORT, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    length = end - start
+    return eight[start] & _LOW_BYTES[np.minimum(length, 8)], eight[np.minimum(start + 8, len(eight) - 1)] & _LOW_BYTES[np.clip(length - 8, 0, 8)]
+
+
+def content_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, parts: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A hash to sort spans by before they are compared: of a short span's bytes, of a longer one's first and last bytes."""
+    low, high = parts or ends(data, start, end)
+    with np.errstate(over="ignore"):
+        h = low * np.uint64(0x9FB21C651E98DF25) ^ (high + (end - start).astype(np.uint64)) * np.uint64(_BASE)
+        if len(long := np.flatnonzero(end - start > SHORT)):
+            low, high = ends(data, end[long] - SHORT, end[long])
+            h[long] ^= mix(low * np.uint64(_BASE) + high)
+        return mix(h)
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The number of the first span of each different content, and the content's number of every span.
 
-    Spans are sorted by their hash and held against the bytes of the first with that hash; those that differ from it are
-    told apart by their bytes, so two contents are never taken for one.
+    Spans are sorted by their hash and held against the first with that hash, short ones by the two numbers that are their
+    bytes, longer ones byte by byte; those that differ from it are told apart by their bytes, so two contents are never
+    taken for one.
     """
     if not len(start):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    _, first, back = np.unique(span_hash(data, start, end) if h is None else h, return_index=True, return_inverse=True)
+    low, high = parts = ends(data, start, end)
+    _, first, back = np.unique(content_hash(data, start, end, parts), return_index=True, return_inverse=True)
     length, to = end - start, first[back]
-    same = length == length[to]
-    check = np.flatnonzero(same & (to != np.arange(len(to))))
+    same = (length == length[to]) & (low == low[to]) & (high == high[to])
+    check = np.flatnonzero(same & (length > SHORT) & (to != np.arange(len(to))))
     same[check] = equal(data, start[check], data, start[to[check]], length[check])
     if not same.all():
         more: dict[bytes, int] = {}
@@ -216,7 +248,7 @@ def words(piece: Slice, kind: np.ndarray = NOT_SPACE, lower: np.ndarray | None =
     data = LOWER[piece.data] if lower is None else lower
     start, end = runs(kind[data], piece.offsets)
     row = np.searchsorted(piece.offsets[1:], start, side="right")
-    return Words(start, end, row, span_hash(data, start, end), np.bincount(row, minlength=piece.rows))
+    return Words(data, start, end, row, np.bincount(row, minlength=piece.rows))
 
 
 def combine(*parts: np.ndarray) -> np.ndarray:

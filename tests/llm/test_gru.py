@@ -109,7 +109,7 @@ def test_words_of_one_hash_stay_apart(spark, monkeypatch):
     rows = [(i, f"{a} {b} {a} short words here and there {'x' * 70} {'y' * 70}"[: 90 + 200 * i], "en", "s", 1) for i in range(12)] + [(12, b, "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     compare([tuple(r) for r in gru.op6_lm_scoring(docs).collect()], plain_base([(r[0], r[1]) for r in rows]))
-    monkeypatch.setattr(kernel, "span_hash", lambda data, start, end: (end - start).astype(np.uint64))
+    monkeypatch.setattr(kernel, "content_hash", lambda data, start, end, parts=None: (end - start).astype(np.uint64))
     t = tokens([r[1] for r in rows])
     spelled = [[t.data[t.start[i] : t.end[i]].tobytes().decode() for i in ids] for ids in np.split(t.ids, np.cumsum(t.counts)[:-1])]
     assert spelled == [words(r[1]) + [""] for r in rows] and len({t.data[x:y].tobytes() for x, y in zip(t.start, t.end, strict=True)}) == len(t.start)
