@@ -48,31 +48,37 @@ def html_unescape(s: pd.Series) -> pd.Series:
     return _series(html.unescape)(s)
 
 
-@F.udf(GRAPH, useArrow=True)
-def slt_graph(xml):
-    g = trees.slt_graph(xml)
-    return None if g is None else (g.tags, g.symbols, g.edges)
+_EDGE = pa.struct([("src", pa.int32()), ("dst", pa.int32()), ("type", pa.string())])
+_KIND = pa.struct([("tags", pa.list_(pa.string())), ("symbols", pa.list_(pa.string())), ("edges", pa.list_(_EDGE))])
 
 
-@F.udf(GRAPH, useArrow=True)
-def opt_graph(xml):
-    g = trees.opt_graph(xml)
-    return None if g is None else (g.tags, g.symbols, g.edges)
+def _graphs(build, markup: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or (g := build(x)) is None else g.as_dict() for x in markup.to_pylist()], _KIND)
 
 
-@F.udf(T.StringType(), useArrow=True)
-def slt_failure(xml):
-    return None if xml is None else mathml.failure(xml, trees.slt_graph)
+@F.arrow_udf(GRAPH)
+def slt_graph(xml: pa.Array) -> pa.Array:
+    return _graphs(trees.slt_graph, xml)
 
 
-@F.udf(T.StringType(), useArrow=True)
-def opt_failure(xml):
-    return None if xml is None else mathml.failure(xml, trees.opt_graph)
+@F.arrow_udf(GRAPH)
+def opt_graph(xml: pa.Array) -> pa.Array:
+    return _graphs(trees.opt_graph, xml)
 
 
-@F.udf(T.StringType(), useArrow=True)
-def error_context(xml):
-    return None if xml is None else mathml.error_context(xml)
+@F.pandas_udf(T.StringType())
+def slt_failure(xml: pd.Series) -> pd.Series:
+    return _series(lambda x: mathml.failure(x, trees.slt_graph))(xml)
+
+
+@F.pandas_udf(T.StringType())
+def opt_failure(xml: pd.Series) -> pd.Series:
+    return _series(lambda x: mathml.failure(x, trees.opt_graph))(xml)
+
+
+@F.pandas_udf(T.StringType())
+def error_context(xml: pd.Series) -> pd.Series:
+    return _series(mathml.error_context)(xml)
 
 
 @F.udtf(returnType=struct("level string, kind string, tuple string, n int"))
@@ -99,13 +105,10 @@ def parse_formulas(df: DataFrame, slt: str = "slt", opt: str = "opt") -> DataFra
     names = df.columns
     at = {r: names.index(c) for r, c in (("slt", slt), ("opt", opt))}
     schema = df.select("*", F.lit(None).cast("array<string>").alias("slt_symbols"), F.lit(None).cast(_GRAPH).alias("slt_graph"), F.lit(None).cast(_GRAPH).alias("opt_graph")).schema
-    edge = pa.struct([("src", pa.int32()), ("dst", pa.int32()), ("type", pa.string())])
-    kind = pa.struct([("tags", pa.list_(pa.string())), ("symbols", pa.list_(pa.string())), ("edges", pa.list_(edge))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slts, opts = b.column(at["slt"]).to_pylist(), b.column(at["opt"]).to_pylist()
-            graphs = [[None if (g := build(x)) is None else g.as_dict() for x in xs] for build, xs in ((trees.slt_graph, slts), (trees.opt_graph, opts))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([mathml.leaf_symbols(x) for x in slts], pa.list_(pa.string())), pa.array(graphs[0], kind), pa.array(graphs[1], kind)], [*names, "slt_symbols", "slt_graph", "opt_graph"])
+            symbols = pa.array([mathml.leaf_symbols(x) for x in b.column(at["slt"]).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, symbols, _graphs(trees.slt_graph, b.column(at["slt"])), _graphs(trees.opt_graph, b.column(at["opt"]))], [*names, "slt_symbols", "slt_graph", "opt_graph"])
 
     return df.mapInArrow(work, schema)

@@ -14,6 +14,9 @@ IDF_LEVELS = ("exact", "alpha", "unified")
 FIRST_STAGE = ("bm25", "cosine", "rrf_score", "rrf_rank")
 
 
+# Fixed: the names of the features and their order, which stored feature tables and models share.
+
+
 def base_names() -> list[str]:
     each = lambda r: [f"{r}_{lv}_{k}_{m}" for lv in LEVELS for k in ("edge", "path") for m in ("recall", "precision", "f1")] + [f"{r}_{x}" for x in ("ted_exact", "ted_unified", "size_ratio", "missing")]
     return [n for r in REPS for n in each(r)]

@@ -52,8 +52,15 @@ def over_limits(values: DataFrame, column: str, limits: Sequence[int] = LIMITS)
 
 
 def vocabulary(counts: DataFrame, least: int = 5, special: Sequence[str] = SPECIAL_SYMBOLS) -> DataFrame:
-    """(token, id): the special entries first, then tokens of at least ``least`` occurrences in code-point order."""
-    own = counts.where(F.col("n") >= least).select("token", (F.row_number().over(Window.orderBy("token")) - 1 + len(special)).cast("int").alias("id"))
+    """(token, id): the special entries first, then tokens of at least ``least`` occurrences in code-point order.
+
+    Tokens are numbered within those of the same first two characters, after all that begin with less: only the counts of
+    such beginnings, in every alphabet some thousands, meet in one task."""
+    kept = counts.where(F.col("n") >= least).select("token", F.substring("token", 1, 2).alias("head"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = kept.groupBy("head").agg(F.count("*").alias("n")).select("head", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("head").orderBy("token"))
+    own = kept.withColumn("place", place).join(heads, "head").select("token", (F.col("before") + F.col("place") - 1 + len(special)).cast("int").alias("id"))
     return own.unionByName(own.sparkSession.createDataFrame([(t, i) for i, t in enumerate(special)], "token string, id int"))
 
 

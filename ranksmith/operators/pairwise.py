@@ -6,9 +6,13 @@ inverse document frequencies come as a map column of just the pair's tuples or a
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +20,7 @@ from ..functions import trees
 from ..functions.workers import ship
 from .features import IDF_LEVELS, LEVELS, PROTO_LEVELS, base_names, proto_names
 
-MOST_IDF_KEYS = 4_000_000  # most keys of a broadcast document-frequency table (48 MB)
+MOST_IDF_KEYS = 4_000_000  # most keys of a broadcast document-frequency table: two sorted arrays, 48 MB
 
 
 class Prepared:
@@ -61,23 +65,73 @@ def compare(q: Prepared | None, c: Prepared | None, idf=None) -> tuple[list[floa
     return base, proto
 
 
-def idf_table(tuples: DataFrame, owner: str) -> tuple[dict[int, int], int]:
-    """Hashed document frequencies for a broadcast, refused beyond MOST_IDF_KEYS; tuples: owner, level, kind, tuple.
+@dataclass
+class IdfTable:
+    """Hashed document frequencies: sorted keys, their frequencies, and the number of formulas."""
 
-    The keys are those of IDF_LEVELS and of edges and paths."""
+    keys: np.ndarray
+    df: np.ndarray
+    n: int
+
+    def weight(self, level: str, kind: str, t: tuple) -> float:
+        h = xxhash.xxh64_intdigest("\x1f".join((level, kind, *t)).encode(), 42)
+        h -= (1 << 64) if h >> 63 else 0
+        i = int(np.searchsorted(self.keys, h))
+        d = int(self.df[i]) if i < len(self.keys) and self.keys[i] == h else 0
+        return float(np.log1p((self.n - d + 0.5) / (d + 0.5)))
+
+
+def _idf_keys(tuples: DataFrame, owner: str) -> DataFrame:
+    """(owner, key) of every different tuple of the levels and kinds that are weighed."""
     rows = tuples.where(F.col("level").isin(*IDF_LEVELS) & F.col("kind").isin("edge", "path"))
-    df = rows.select(owner, F.xxhash64(F.concat_ws("\x1f", "level", "kind", "tuple")).alias("key")).distinct().groupBy("key").agg(F.count("*").alias("df"))
+    return rows.select(owner, F.xxhash64(F.concat_ws("\x1f", "level", "kind", "tuple")).alias("key")).distinct()
+
+
+def idf_tables(tuples: DataFrame, owner: str, pairs: DataFrame, side: str, most: int = MOST_IDF_KEYS) -> Iterator[tuple[DataFrame, IdfTable]]:
+    """The pairs in blocks, each with the document frequencies that it needs; tuples: owner, level, kind, tuple.
+
+    Frequencies count all formulas.  Where the whole table has at most ``most`` keys there is one block.  Otherwise pairs go
+    by a hash of the column ``side`` (the query of a pair) into blocks, more of them until each block's own formulas, named
+    by the columns ``side`` and ``owner`` of the pairs, have no more keys than that: nothing is sampled or left out.
+    """
+    each = _idf_keys(tuples, owner)
+    df, n = each.groupBy("key").agg(F.count("*").alias("df")), each.select(owner).distinct().count()
+
+    def table(part: DataFrame) -> IdfTable:
+        got = part.orderBy("key").toArrow()
+        return IdfTable(got["key"].to_numpy(), got["df"].to_numpy().astype(np.int32), n)
+
+    if df.count() <= most:
+        yield pairs, table(df)
+        return
+    blocks = 2
+    while True:
+        block = F.pmod(F.xxhash64(side), F.lit(blocks))
+        needed = pairs.select(block.alias("block"), F.explode(F.array(side, owner)).alias(owner)).distinct().join(each, owner).select("block", "key").distinct()
+        sizes = {r["block"]: r["count"] for r in needed.groupBy("block").count().collect()}
+        if max(sizes.values(), default=0) <= most:
+            break
+        if blocks > 1 << 16:
+            raise ValueError("one query's pairs alone need more document frequencies than a block may hold")
+        blocks *= 2
+    for i in sorted(sizes):
+        yield pairs.where(block == i), table(df.join(needed.where(F.col("block") == i).select("key"), "key", "left_semi"))
+
+
+def idf_table(tuples: DataFrame, owner: str) -> IdfTable:
+    """The document frequencies of all keys, refused beyond MOST_IDF_KEYS; ``idf_tables`` has no such bound."""
+    each = _idf_keys(tuples, owner)
+    df = each.groupBy("key").agg(F.count("*").alias("df"))
     if df.count() > MOST_IDF_KEYS:
-        raise ValueError("the document-frequency table is too large to broadcast; sample fewer formulas")
-    return {r["key"]: r["df"] for r in df.toLocalIterator()}, rows.select(owner).distinct().count()
+        raise ValueError("the document-frequency table is too large for one broadcast; use idf_tables")
+    got = df.orderBy("key").toArrow()
+    return IdfTable(got["key"].to_numpy(), got["df"].to_numpy().astype(np.int32), each.select(owner).distinct().count())
 
 
-def pair_features(pairs: DataFrame, idf: tuple[dict[int, int], int] | None = None) -> DataFrame:
+def pair_features(pairs: DataFrame, idf: IdfTable | None = None) -> DataFrame:
     """pairs with one double column per feature name (base, then proto).
 
     pairs: q_slt, q_opt, c_slt, c_opt (graph structs, nullable) beside any keys."""
-    import xxhash
-
     names = base_names() + proto_names()
     graphs = ("q_slt", "q_opt", "c_slt", "c_opt")
     keys = [c for c in pairs.columns if c not in graphs]
@@ -85,15 +139,7 @@ def pair_features(pairs: DataFrame, idf: tuple[dict[int, int], int] | None = Non
     shared = pairs.sparkSession.sparkContext.broadcast(idf) if idf is not None else None
 
     def work(parts):
-        weight = None
-        if shared is not None:
-            df, n = shared.value
-
-            def weight(level, kind, t):
-                h = xxhash.xxh64_intdigest("\x1f".join((level, kind, *t)).encode(), 42)
-                d = df.get(h - (1 << 64) if h >> 63 else h, 0)
-                return float(np.log1p((n - d + 0.5) / (d + 0.5)))
-
+        weight = None if shared is None else lru_cache(1 << 16)(shared.value.weight)
         ready: dict = {}
 
         def prepared(row):

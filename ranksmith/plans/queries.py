@@ -64,7 +64,7 @@ def bm25_candidate_scores(spark, d):
     i = F.col("topic_id").cast("long")
     pairs = t.select("topic_id", F.explode(F.array_distinct(F.array(i, i * 2, i * 3)).cast("array<string>")).alias("visual_id"))
     cand = pairs.join(S.corpus(spark, d).select("visual_id"), "visual_id", "left_semi").select("topic_id", "visual_id")
-    return bm25.score_candidates(bm25.build(S.corpus(spark, d)), t, cand).select("topic_id", "visual_id", F.round("score", 6).alias("score"))
+    return bm25.score_candidates(bm25.build(S.corpus(spark, d), terms=bm25.query_terms(t)), t, cand).select("topic_id", "visual_id", F.round("score", 6).alias("score"))
 
 
 @query("AGG4", _with("corpus") + " SELECT visual_id, CAST(len(tokens) AS BIGINT) AS len FROM corpus")
