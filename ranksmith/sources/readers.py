@@ -45,11 +45,26 @@ def sample(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema=SAMPLE)
 
 
+def ordered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, at, value) of the lines that are not empty; ``at`` orders the lines of a file.  Files are split like any text:
+    a line is known by its block and its place among the rows read, and nothing is shuffled."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.regexp_replace("value", "\r$", "").alias("value")).where("value <> ''")
+
+
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line, value) with true line numbers from 1; for judgment and run files, each of which fits a task."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
-    rows = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return rows.select("file", (F.col("line") + 1).alias("line"), "value").where("value <> ''")
+    """(file, line, value) with true line numbers from 1, empty lines counted and left out; each file's lines are sorted in
+    one task."""
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.regexp_replace("value", "\r$", "").alias("value"))
+    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("at")).alias("line"), "value").where("value <> ''")
+
+
+def _refuse(spark: SparkSession, path: str | list[str], bad: DataFrame, why: str, cond) -> None:
+    """An error that names the first bad line, if there is one; lines are numbered only then."""
+    if not bad.isEmpty():
+        first = _fields(numbered_lines(spark, path)).where(cond).orderBy("file", "line").first()
+        raise ValueError(f"{first['file']}, line {first['line']}: {why}")
 
 
 def _fields(lines: DataFrame) -> DataFrame:
@@ -57,17 +72,17 @@ def _fields(lines: DataFrame) -> DataFrame:
 
 
 def _last_wins(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.max_by(value, F.struct("file", "line")).alias(value))
+    return df.groupBy(*keys).agg(F.max_by(value, F.struct("file", "at")).alias(value))
 
 
 def formula_qrels(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
     """(topic_id, formula_id, grade) of every valid line, repeated ones kept: fewer than four fields or a grade that is
     no number is skipped (headers; strict: such a grade is an error), grades are cut towards zero."""
-    f = _fields(numbered_lines(spark, path)).where(F.size("f") >= 4)
+    f = _fields(ordered_lines(spark, path)).where(F.size("f") >= 4)
     if strict:
-        good = F.assert_true(F.get("f", F.lit(3)).try_cast("double").isNotNull(), F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": the grade is no number")))
-        f = f.withColumn("__ok", good).where(F.col("__ok").isNull())
-    rows = f.select("file", "line", F.get("f", F.lit(0)).alias("topic_id"), F.get("f", F.lit(2)).alias("formula_id"), F.get("f", F.lit(3)).try_cast("double").cast("int").alias("grade"))
+        wrong = (F.size("f") >= 4) & F.get("f", F.lit(3)).try_cast("double").isNull()
+        _refuse(spark, path, f.where(wrong), "the grade is no number", wrong)
+    rows = f.select("file", "at", F.get("f", F.lit(0)).alias("topic_id"), F.get("f", F.lit(2)).alias("formula_id"), F.get("f", F.lit(3)).try_cast("double").cast("int").alias("grade"))
     return rows.where("grade is not null")
 
 
@@ -84,12 +99,12 @@ def split_qrels(spark: SparkSession, root: str, spec: str, kind: str = "official
 
 def run(spark: SparkSession, path: str) -> DataFrame:
     """(topic_id, visual_id, score, run_id): exactly six fields a line or an error naming the line; blank lines pass."""
-    f = _fields(numbered_lines(spark, path).where(strip("value") != ""))
-    ok = F.assert_true(F.size("f") == 6, F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": six columns expected")))
-    f = f.withColumn("__ok", ok).where(F.col("__ok").isNull())
-    rows = f.select("file", "line", F.get("f", F.lit(0)).alias("topic_id"), F.get("f", F.lit(2)).alias("visual_id"), F.get("f", F.lit(4)).cast("double").alias("score"), F.get("f", F.lit(5)).alias("rid"))
-    name = F.max_by("rid", F.struct("file", "line")).over(Window.partitionBy("file"))
-    return _last_wins(rows.withColumn("sr", F.struct("score", name.alias("run_id"))), ["topic_id", "visual_id"], "sr").select("topic_id", "visual_id", "sr.score", "sr.run_id")
+    f = _fields(ordered_lines(spark, path).where(strip("value") != ""))
+    wrong = (strip("value") != "") & (F.size("f") != 6)
+    _refuse(spark, path, f.where(wrong), "six columns expected", wrong)
+    rows = f.select("file", "at", F.get("f", F.lit(0)).alias("topic_id"), F.get("f", F.lit(2)).alias("visual_id"), F.get("f", F.lit(4)).cast("double").alias("score"), F.get("f", F.lit(5)).alias("rid"))
+    names = rows.groupBy("file").agg(F.max_by("rid", "at").alias("run_id"))
+    return _last_wins(rows.join(F.broadcast(names), "file").withColumn("sr", F.struct("score", "run_id")), ["topic_id", "visual_id"], "sr").select("topic_id", "visual_id", "sr.score", "sr.run_id")
 
 
 def submission(spark: SparkSession, path: str) -> DataFrame:

@@ -104,3 +104,24 @@ def test_incremental_ingest(spark, tmp_path):
     assert run() == [(1, False, ["x"])]
     put(tmp_path / "in" / "2.tsv", HEAD + "2\t2\t3\tanswer\t\t7\t8\t\t<math><mi>\n")
     assert run() == run() == [(1, False, ["x"]), (2, True, None)]
+
+
+def test_lines_of_a_split_file_keep_their_order(spark, tmp_path):
+    """A file read by many tasks: the last line of a pair counts, file order holds, and a bad line is named by its number."""
+    lines = [f"t{i % 7} 0 d{i % 11} {i}" for i in range(900)]
+    path = put(tmp_path / "q", "\n\n".join(lines) + "\n")
+    runs = put(tmp_path / "r", "\r\n".join([f"t Q0 d{i % 5} 1 {i} r{i}" for i in range(700)] + ["t Q0 d9 1 2.0"]))
+    subs = put(tmp_path / "s", "\n".join(f"t\t{i}\t1\t1\t{i % 3}\tx" for i in range(700)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(path).rdd.getNumPartitions() > 5
+        got = {(r["topic_id"], r["visual_id"]): r["grade"] for r in readers.qrels(spark, path).collect()}
+        assert got == {(x.split()[0], x.split()[2]): i for i, x in enumerate(lines)}
+        with pytest.raises(ValueError, match="line 701: six"):
+            readers.run(spark, runs)
+        assert [r["formula_id"] for r in readers.submission(spark, subs).orderBy("pos").collect()] == [str(i) for i in range(700)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
