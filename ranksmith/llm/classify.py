@@ -47,7 +47,7 @@ class Task:
 QUALITY = Task("quality", 3, 1, linear.GramSpec(words=((), (1,)), shapes=((), (1,), (1, 1)), scale=20.0), linear.Ftrl(), 6000)
 
 #: Hashed words, neighbours and skip-grams, each once per text; the stronger L1 leaves a compact model.
-TOXIC = Task("toxic", 5, 0, linear.GramSpec(words=((), (1,), (2,)), presence=True), linear.Ftrl(alpha=3.0, l1=3.0, epochs=6), 8192)
+TOXIC = Task("toxic", 5, 0, linear.GramSpec(words=((), (1,), (2,)), presence=True), linear.Ftrl(alpha=10.0, l1=8.0, epochs=10), 8192)
 
 
 @dataclass
