@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import functions as F
 
-from ..operators import conversion, graphs
+from ..operators import bm25, conversion, graphs, rerank
 from ..sources import readers, writers
 from ..sources.scratch import scratch
 from . import standins as S
-from .queries import _order_graphs, _with, query
+from .queries import _BM25, _order_graphs, _with, query
 
 
 @query("SRC1", r"""SELECT o_orderkey AS id, o_custkey AS post_id, CASE WHEN o_orderkey % 3 = 0 THEN 'd' END AS issue, o_orderstatus || chr(10) || '"' || o_orderpriority || '" a' || chr(9) || 'b' AS formula FROM orders""")
@@ -161,3 +163,24 @@ def conflicts_round_trip(spark, d):
     path = scratch(spark, "conflicts")
     writers.conflicts_file(conversion.conflicts(S.formula_qrels(spark, d), S.mapping(spark, d)), path)
     return spark.read.csv(path, sep="\t", header=True).select("topic_id", "visual_id", F.col("spread").cast("int").alias("spread"))
+
+
+@query("SNK2 SNK5 BM2", _with("corpus", "topics") + _BM25 + """
+SELECT topic_id, visual_id, score FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, visual_id DESC) AS rank FROM sc WHERE score <> 0) WHERE rank <= 10""")
+def index_round_trip(spark, d):
+    """A stored index of the whole corpus, loaded and searched."""
+    path = scratch(spark, "index")
+    bm25.build(S.corpus(spark, d)).save(path)
+    return bm25.search(bm25.Index.load(spark, path), S.topics(spark, d), 10, digits=6).select("topic_id", "visual_id", "score")
+
+
+@query("SNK6 SNK9 RK9 RR7", "SELECT 'f2' AS name, -0.75::DOUBLE AS weight, CAST(2 AS BIGINT) AS place UNION ALL SELECT 'f3', 1.5::DOUBLE, CAST(1 AS BIGINT)")
+def stored_model(spark, d):
+    """A reranker and a vocabulary as JSON files of the driver, read back; the weights largest in absolute value."""
+    with tempfile.TemporaryDirectory() as folder:
+        rerank.Reranker(["f1", "f2", "f3"], [0.0] * 3, [1.0] * 3, [0.5, -0.75, 1.5]).save(f"{folder}/model.json")
+        writers.vocabularies({"slt": {"tags": {"π": 1}}}, f"{folder}/vocabulary.json")
+        model, kept = rerank.Reranker.load(f"{folder}/model.json"), writers.load_vocabularies(f"{folder}/vocabulary.json")
+    if kept != {"slt": {"tags": {"π": 1}}}:
+        raise ValueError("the vocabulary came back changed")
+    return spark.createDataFrame([(n, w, i) for i, (n, w) in enumerate(model.strongest(2), 1)], "name string, weight double, place long")

@@ -80,7 +80,7 @@ def _tuples_sql() -> str:
     return "\nUNION ALL ".join(out)
 
 
-@query("FE2 FE3 JN13", f"""WITH {_F}, g AS (SELECT *, 1 AS vx, CASE WHEN x = 'y' THEN 1 ELSE 2 END AS vy FROM f), t AS ({_tuples_sql()}) SELECT id, level, kind, tuple, count(*) AS n FROM t GROUP BY ALL""")
+@query("FE1 FE2 FE3 JN13", f"""WITH {_F}, g AS (SELECT *, 1 AS vx, CASE WHEN x = 'y' THEN 1 ELSE 2 END AS vy FROM f), t AS ({_tuples_sql()}) SELECT id, level, kind, tuple, count(*) AS n FROM t GROUP BY ALL""")
 def formula_tuples(spark, d):
     """One-, two- and three-edge paths of the operator trees (none has three edges) at the four levels."""
     udfs.register(spark)
@@ -229,3 +229,62 @@ def rerank_cross_validation(spark, d):
     results = rerank.grid(S.run_b(spark, d), {1.0: f.select("topic_id", "visual_id", (F.col("f1") / 50).alias("model"))}, q, [20, 200], [0.5, 1.0])
     folds = ranking.topic_folds([r["topic_id"] for r in q.select("topic_id").distinct().collect()], 5)
     return rerank.cross_validate(results, spark.createDataFrame(list(folds.items()), "topic_id string, fold int"))
+
+
+# ---- scalar forms, views, loss --------------------------------------------------------------------------------------
+
+
+@query("TXT4 TXT11", "SELECT p_partkey, substr('x1 ' || p_brand || ' ' || p_type, 1, 30) AS symbol, lower(p_type) AS post_type, regexp_replace(p_brand || '/' || p_size || ' a', '[^A-Za-z0-9_-]+', '-', 'g') AS run_id FROM part")
+def symbol_forms(spark, d):
+    """Wide letters, a superscript and runs of white space in what becomes a symbol; types and run ids with odd characters."""
+    ship(spark)
+    wide = F.concat(F.lit("ｘ¹ \t "), F.col("p_brand"), F.lit("\n"), F.col("p_type"), F.lit(" "))
+    run_id = F.concat(F.col("p_brand"), F.lit("/"), F.col("p_size").cast("string"), F.lit(" a"))
+    return S.table(spark, d, "part").select("p_partkey", udfs.normalize_symbol(wide).alias("symbol"), C.post_type(F.concat(F.lit(" "), "p_type", F.lit("\t"))).alias("post_type"), C.safe_run_id(run_id).alias("run_id"))
+
+
+@query("AU1 AU2 AU4 AU5 AU6 GR9", "SELECT CAST(s_suppkey AS VARCHAR) AS visual_id, CASE WHEN s_suppkey % 5 = 0 THEN '4' ELSE '4|5' END AS nodes, CASE WHEN s_suppkey % 5 = 0 THEN '3' ELSE '3|4' END AS edges, true AS same_class, true AS injective, true AS alike FROM supplier")
+def renamed_views(spark, d):
+    """What renaming keeps: nodes and edges, the class of each symbol, one new name for each old one, and the same name in both
+    representations."""
+    from ..functions.augment import Augmentation
+    from .queries import _encoded_formulas
+
+    rows, vocabs = _encoded_formulas(spark, d)
+    views = encoding.augmented_pairs(rows, vocabs, Augmentation(p_rename=1.0, p_numbers=1.0, p_crop=0.0, p_drop_modality=0.0), seed=3)
+    number = {s: i for s, i in vocabs["slt"]["symbols"].items()}
+    kind = F.create_map(*[F.lit(x) for s, i in number.items() for x in (i, "var" if s in "abcxyz" else f"int{len(s)}" if s.isdigit() else s)])
+    both = views.join(rows.select("visual_id", F.col("slt").alias("slt"), F.col("opt").alias("opt")), "visual_id")
+    classes = lambda c: F.transform(F.col(f"{c}.symbol"), lambda i: F.element_at(kind, i))
+    size = lambda f: F.concat_ws("|", f("a_slt").cast("string"), f("a_opt").cast("string"))
+    pairs = F.array_distinct(F.arrays_zip(F.col("slt.symbol").alias("old"), F.col("a_slt.symbol").alias("new")))
+    olds, news = F.array_distinct(F.transform(pairs, lambda p: p["old"])), F.array_distinct(F.transform(pairs, lambda p: p["new"]))
+    # x^n + x as layout x, n, +, x; as operators plus, superscript, x, n, x
+    alike = F.col("opt").isNull() | ((F.get("a_slt.symbol", F.lit(0)) == F.get("a_opt.symbol", F.lit(2))) & (F.get("a_slt.symbol", F.lit(1)) == F.get("a_opt.symbol", F.lit(3))))
+    return both.select(
+        "visual_id", size(lambda c: F.when(F.col(c).isNotNull(), F.size(f"{c}.tag"))).alias("nodes"), size(lambda c: F.when(F.col(c).isNotNull(), F.size(f"{c}.edges"))).alias("edges"),
+        ((classes("slt") == classes("a_slt")) & F.coalesce(classes("opt") == classes("a_opt"), F.lit(True))).alias("same_class"), ((F.size(pairs) == F.size(olds)) & (F.size(olds) == F.size(news))).alias("injective"), alike.alias("alike"),
+    )
+
+
+@query("EN5", """WITH v AS (SELECT label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings), a AS (SELECT label, i // 2 AS k, e FROM v WHERE i % 2 = 0), b AS (SELECT label, i // 2 AS k, e FROM v WHERE i % 2 = 1),
+s AS (SELECT a.label, a.k AS ka, b.k AS kb, list_cosine_similarity(a.e, b.e) / 0.07 AS s FROM a JOIN b USING (label) WHERE a.k IN (SELECT k FROM b x WHERE x.label = a.label)),
+r AS (SELECT label, ka AS k, ln(sum(exp(s))) - sum(s) FILTER (ka = kb) AS loss, CASE WHEN max(s) FILTER (ka = kb) >= max(s) THEN 1 ELSE 0 END AS hit FROM s GROUP BY label, ka), c AS (SELECT label, kb AS k, ln(sum(exp(s))) - sum(s) FILTER (ka = kb) AS loss FROM s GROUP BY label, kb)
+SELECT label, round((avg(r.loss) + avg(c.loss)) / 2, 6) AS loss, round(avg(hit), 6) AS accuracy FROM r JOIN c USING (label, k) GROUP BY label""")
+def contrastive_loss(spark, d):
+    """The symmetric loss of a batch for each label: its vectors in pairs, in order."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.encoder import info_nce
+
+    ship(spark)
+
+    def each(part: pd.DataFrame) -> pd.DataFrame:
+        e = np.array(part.sort_values("vec_id").embedding.tolist(), float)
+        e /= np.linalg.norm(e, axis=1, keepdims=True)
+        n = len(e) // 2
+        loss, accuracy = info_nce(e[0 : 2 * n : 2], e[1 : 2 * n : 2])
+        return pd.DataFrame({"label": [part.label.iloc[0]], "loss": [round(loss, 6)], "accuracy": [round(accuracy, 6)]})
+
+    return S.table(spark, d, "embeddings").groupBy("label").applyInPandas(each, "label int, loss double, accuracy double")
