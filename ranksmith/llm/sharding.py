@@ -5,9 +5,9 @@ Each record hashes its key with every shard's number to a uniform value u and go
 its share of them, and nothing moves between the old ones.
 
 A record's slot within its shard is a running number in a seeded order, without gathering a shard in one task: rows are
-numbered within (shard, first three hex digits of the md5 of key and text's crc32, so that one key of many texts is no
-hot cell), and the counts of the digits before are added.  Those
-counts are at most 4096 a shard, so they are broadcast whatever the size of the data.
+numbered within (shard, first three hex digits of the md5 of key and text's crc32), and the counts of the digits before
+are added.  One key of many texts is thus no hot cell.  The counts are at most 4096 a shard, so they are broadcast whatever
+the size of the data.
 
 Defined results for odd input
     null text: size 1, crc32 of the empty text.  null key: hashed as empty.  repeated rows or keys: the same shard, slots

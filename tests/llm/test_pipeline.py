@@ -69,3 +69,24 @@ def test_near_duplicates_take_rows_of_one_key_apart(spark, small):
 
 def test_helpers_lower():
     assert lower("ÀB") == "Àb"
+
+
+def test_stages_do_not_depend_on_the_partitions(spark, small):
+    """Equal and missing keys over different texts, exact copies and benchmark passages: the same rows stay, however dealt."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    leak = next(r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect() if r["text"] and len(r["text"].split()) >= 10)
+    odd_rows = [(k, t, "en", "a", 1) for k in (None, 1, 2) for t in (leak, "one two three four five", "six seven eight nine ten", None)] * 2
+    docs = docs.unionByName(spark.createDataFrame(odd_rows, docs.schema))
+    stage = dict(corpus_pipeline.STAGES)
+    for name in ("near_duplicates", "decontamination"):
+        one, two = (sorted(map(repr, map(tuple, stage[name](spark, docs.repartition(n), small).collect()))) for n in (2, 9))
+        assert one == two and 0 < len(one) < docs.count()
+
+
+def test_few_names_move_no_text(spark, small):
+    """The plans that filter the texts have no shuffle of them."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    for name in ("near_duplicates", "decontamination"):
+        plan = stage[name](spark, docs, small)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
