@@ -234,3 +234,17 @@ def test_graphs_are_not_broadcast(spark, small, name):
 
     plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_training_pairs_are_not_formed_as_rows(spark):
+    rows = [("t" if i < 60 else "u", str(i), i % 4, float(i)) for i in range(64)] + [(None, "x", 3, 1.0), ("t", "y", None, 1.0), ("t", "z", -1, 1.0)]
+    got = rerank.pairs(frame(spark, rows, "topic_id string, visual_id string, grade int, f double"), ["f"], most=20, seed=3)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    import hashlib
+
+    want = []
+    for topic in "tu":
+        judged = [r for r in rows if r[0] == topic and r[2] is not None and r[2] >= 0]
+        both = sorted((hashlib.md5(f"3|{a[1]}|{b[1]}".encode()).hexdigest(), a, b) for a in judged for b in judged if a[2] > b[2])
+        want += [(topic, a[1], b[1], a[3] - b[3]) for _, a, b in both[:20]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
