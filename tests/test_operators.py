@@ -248,3 +248,18 @@ def test_training_pairs_are_not_formed_as_rows(spark):
         both = sorted((hashlib.md5(f"3|{a[1]}|{b[1]}".encode()).hexdigest(), a, b) for a in judged for b in judged if a[2] > b[2])
         want += [(topic, a[1], b[1], a[3] - b[3]) for _, a, b in both[:20]]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_pairwise_regression_over_topics(spark):
+    schema = "topic_id string, visual_id string, grade int, f double, g double"
+    rng = np.random.default_rng(8)
+    rows = [(f"t{i % 3}", f"d{i}", int(i % 5 > 2) + (i % 7 == 0), float(i % 5 + rng.standard_normal()), float(rng.standard_normal())) for i in range(90)]
+    data = frame(spark, rows, schema)
+    model = rerank.fit(data, ["f", "g"], 0.5)
+    z = np.array([r[3:] for r in rows]) / model.scale
+    d = np.array([z[i] - z[j] for i, a in enumerate(rows) for j, b in enumerate(rows) if a[0] == b[0] and a[2] > b[2]])
+    w = np.array(model.weights)
+    assert np.abs(w - 0.5 * (d / (1 + np.exp(d @ w))[:, None]).sum(axis=0)).max() < 1e-5
+    assert rerank.fit(data.where("grade = 0"), ["f", "g"]).weights == [0.0, 0.0]  # no pairs
+    with pytest.raises(Exception, match="not finite"):
+        rerank.fit(data.withColumn("g", F.when(F.col("visual_id") != "d7", F.col("g"))), ["f", "g"])
