@@ -50,6 +50,7 @@ TRAIN_LANES, TRAIN_LEAST, SCORE_LANES = 256, 64, 256
 RATE = 0.15
 MOST_LOGIT = 60.0
 BLOCK_BYTES = 4 << 20
+SCORE_BYTES = 8 << 20  # more: a block takes as many steps as its longest text has tokens
 ADD = 0.1
 END = b""  # the end token; no word is empty
 _F = np.float32
@@ -108,7 +109,7 @@ class Lexicon:
         self.cls = np.where(listed, rank // PER_CLASS, CLASSES + band).astype(np.int16)
         self.place = np.where(listed, rank % PER_CLASS, 0).astype(np.int16)
         self.listed = listed
-        self.input = np.where(listed, rank, WORDS + band).astype(np.int32)
+        self.input = np.where(listed, rank, WORDS + band).astype(np.int16)
         weight = self.counts + ADD
         mass = np.bincount(self.cls, weights=weight, minlength=RARE + 1)
         self.rare_types = self.types - n
@@ -222,11 +223,11 @@ class Network:
             got, back = self._softmax(logit, place[order])
             out[order] += got
             if grads is not None:
-                d = np.empty_like(inner)
+                d, ones = np.empty_like(inner), np.ones(len(back), back.dtype)
                 for c, s in zip(found, part, strict=True):
                     grads["Wo"][c] += inner[s].T @ back[s]
+                    grads["bo"][c] += ones[s] @ back[s]
                     np.matmul(back[s], self.w["Wo"][c].T, out=d[s])
-                grads["bo"][found] += np.add.reduceat(back, ends[found], axis=0)
                 dh[order] += d
         return out, dh
 
@@ -306,7 +307,7 @@ class Block:
     def of(cls, tokens: Tokens, lexicon: Lexicon, head: Head) -> Block:
         word = head.find(tokens)
         known, n = word >= 0, len(word)
-        parts = [np.full(n, RARE, np.int16), np.zeros(n, np.int16), np.full(n, WORDS + BANDS, np.int32)]
+        parts = [np.full(n, RARE, np.int16), np.zeros(n, np.int16), np.full(n, WORDS + BANDS, np.int16)]
         for part, of in zip(parts, (lexicon.cls, lexicon.place, lexicon.input), strict=True):
             part[known] = of[word[known]]
         return cls(word[tokens.ids], *(x[tokens.ids] for x in parts), tokens.counts)
@@ -318,14 +319,19 @@ def score_block(net: Network, block: Block) -> np.ndarray:
     lanes = Lanes.of(block.counts, SCORE_LANES)
     h = np.zeros((len(lanes.length), HIDDEN), _F)
     for steps in lanes.windows(SCORE_WINDOW):
-        seen = []
-        for tokens in steps:
-            k = len(tokens)
-            h = h[:k] * ~lanes.first[tokens][:, None]
-            seen.append(h)
-            h = net.step(h, block.input[tokens])[0]
         tokens = np.concatenate(steps)
-        got, _ = net.output(np.concatenate(seen), block.cls[tokens], block.place[tokens])
+        a, fresh = net.w["X"][block.input[tokens]], lanes.first[tokens]
+        seen, sizes = np.empty((len(tokens), HIDDEN), _F), [len(t) for t in steps]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        begins = np.logical_or.reduceat(fresh, starts).tolist()
+        for lo, hi, new in zip(starts.tolist(), ends.tolist(), begins, strict=True):
+            h = h[: hi - lo]
+            if new:
+                h = h * ~fresh[lo:hi, None]
+            seen[lo:hi] = h
+            h = net.advance(h, a[lo:hi])[0]
+        got, _ = net.output(seen, block.cls[tokens], block.place[tokens])
         out[tokens] = got
     out /= math.log(10)
     plain = (block.head >= 0) & (block.cls >= CLASSES)
@@ -375,7 +381,9 @@ def train_block(net: Network, block: Block, state: dict[str, np.ndarray]) -> Non
         grads["U"] = before.T @ da
         da[:, 2 * H :] = after * to_n
         order = np.argsort(x, kind="stable")
-        rows, first = np.unique(x[order], return_index=True)
+        rows = x[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        rows = rows[first]
         gx = np.add.reduceat(da[order], first, axis=0)
         scale = _F(1.0 / len(tokens))
         for k, g in grads.items():
@@ -490,7 +498,7 @@ def score(documents: DataFrame, net: Network, counts: DataFrame, key: str = "doc
         words, weights = packed.value
         own = Network(Lexicon(*words), weights)
         head = Head(own.lexicon)
-        for held, tokens in _blocks(batches, 1):
+        for held, tokens in _blocks(batches, 1, SCORE_BYTES):
             block, n = Block.of(tokens, own.lexicon, head), tokens.counts
             row = np.repeat(np.arange(len(n)), n)
             known = block.head >= 0

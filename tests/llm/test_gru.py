@@ -204,3 +204,9 @@ def test_head_lookup():
     spelled = [t.data[a:b].tobytes() for a, b in zip(t.start, t.end, strict=True)]
     assert [lex.data[lex.offsets[i] : lex.offsets[i + 1]].tobytes() if i >= 0 else None for i in found] == [w if w and int(w[4:]) < 5000 else None for w in spelled]
     assert gru.Head(gru.Lexicon.of({}, 0, 0)).find(t).tolist() == [-1] * len(spelled)
+
+
+def test_inputs_are_short_numbers_and_score_blocks_larger():
+    """Two-byte inputs are sorted by radix; a scored block takes as many steps as its longest text, so it holds more texts."""
+    lexicon = gru.Lexicon.of({b"a": 5, b"b": 3, gru.END: 2}, 10, 3)
+    assert lexicon.input.dtype.itemsize == 2 and gru.WORDS + gru.BANDS < 1 << 15 and gru.SCORE_BYTES > gru.BLOCK_BYTES
